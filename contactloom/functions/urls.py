@@ -8,6 +8,7 @@ legal in a path or fragment percent-encoded.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,17 +27,29 @@ _PATH_KEPT = _UNRESERVED + r"$&+,/:;=@"
 _FRAGMENT_LEGAL = _PATH_LEGAL + "?"
 _FRAGMENT_KEPT = _PATH_KEPT + r"?!()*"
 _HOST_KEPT = _UNRESERVED + r"!$&'()*+,;=:\[\]<>" + '"'
-_HOST = rf"^(?:[{_HOST_KEPT}]|[^\x00-\x7F]|%25|%[89A-Fa-f][0-9A-Fa-f])*$"
-_PORT = r"^(?:\[[^\]]*\](?::[0-9]*)?|(?!\[)[^:]*(?:(?::[^:]*)*:[0-9]*)?)$"
+_BAD_HOST = rf"[\x00-\x7F&&[^{_HOST_KEPT}%]]|%(?!25|[89A-Fa-f][0-9A-Fa-f])"
+_BRACKETED = r"^\[[^\]]*\](?::[0-9]*)?\z"
+_BAD_PORT = r":[^:]*[^0-9:][^:]*\z"
 _USERINFO = rf"^[{_UNRESERVED}!$&'()*+,;=:%@]*$"
 _CONTROL = r"[\x00-\x1F\x7F]"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
 _BLANKS = r"[\x09-\x0D\x85\p{Z}]+"
 
+# URLs that are their own canonical text, and links that only need the origin put in
+# front. Nearly all URLs are of these two forms and skip the general way.
+_PLAIN_PATH = _UNRESERVED + r"!$&'()*+,;=:@/"
+_PLAIN_URL = (
+    r"^https?://[A-Za-z0-9.\-_]+(?::[0-9]+)?"
+    rf"(?:/[{_PLAIN_PATH}]*)?(?:\?[^#\x00-\x1F\x7F]*)?(?:#[{_PLAIN_PATH}]+)?\z"
+)
+_PLAIN_LINK = rf"^/(?!/)[{_PLAIN_PATH}]*\z"
+_REST = 1 << 30
+
 
-def _piece(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _SPLIT, group)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def trim_blanks(text: Column) -> Column:
@@ -49,48 +62,44 @@ def default_scheme(url: Column) -> Column:
     return F.when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
 
 
-def _scheme(url: Column) -> Column:
-    return F.lower(_piece(url, 1))
-
-
-def _authority(url: Column) -> Column:
-    return F.substring(_piece(url, 2), 3, 1 << 30)
-
-
-def _raw_host(url: Column) -> Column:
-    return F.regexp_extract(_authority(url), r"(?s)([^@]*)$", 1)
-
-
-def _userinfo(url: Column) -> Column:
-    """User part with its closing ``@``, or the empty text."""
-    return F.regexp_extract(_authority(url), r"(?s)^(.*@)", 1)
+def _pieces(url: Column) -> Column:
+    """Raw parts of a URL or URL reference; ``opaque`` marks forms such as ``mailto:x``."""
+    authority = F.substring(F.regexp_extract(url, _SPLIT, 2), 3, _REST)
+    path = F.regexp_extract(url, _SPLIT, 3)
+    scheme = F.regexp_extract(url, _SPLIT, 1)
+    rooted = F.regexp_extract(url, _SPLIT, 2) != ""
+    return F.struct(
+        url.alias("text"),
+        F.lower(scheme).alias("scheme"),
+        rooted.alias("rooted"),
+        F.regexp_extract(authority, r"(?s)^(.*@)", 1).alias("user"),
+        F.regexp_extract(authority, r"(?s)([^@]*)$", 1).alias("host"),
+        path.alias("path"),
+        F.regexp_extract(url, _SPLIT, 4).alias("query"),
+        F.regexp_extract(url, _SPLIT, 5).alias("fragment"),
+        ((scheme != "") & ~rooted & ~path.startswith("/")).alias("opaque"),
+    )
 
 
-def _opaque(url: Column) -> Column:
-    """True for forms such as ``mailto:x``: a scheme, then no slash."""
-    path = _piece(url, 3)
-    return (_piece(url, 1) != "") & (_piece(url, 2) == "") & ~path.startswith("/")
+def _well_formed(url: Column) -> Column:
+    """Whether the pieces make up the syntax of a URL or URL reference."""
+    colon_first = (url["scheme"] == "") & ~url["rooted"] & url["path"].rlike(r"^[^/]*:")
+    path = F.when(url["opaque"], F.lit("")).otherwise(url["path"])
+    return (
+        ~url["text"].rlike(_CONTROL)
+        & ~colon_first
+        & ~F.concat(path, url["fragment"], url["user"]).rlike(_BAD_ESCAPE)
+        & ~url["host"].rlike(_BAD_HOST)
+        & F.when(url["host"].startswith("["), url["host"].rlike(_BRACKETED)).otherwise(
+            ~url["host"].rlike(_BAD_PORT)
+        )
+        & url["user"].rlike(_USERINFO)
+    )
 
 
 def is_parseable(url: Column) -> Column:
     """Whether the text has the syntax of a URL or URL reference."""
-    path = _piece(url, 3)
-    host = _raw_host(url)
-    colon_first = (
-        (_piece(url, 1) == "") & (_piece(url, 2) == "") & path.rlike(r"^[^/]*:")
-    )
-    escapes_ok = ~F.concat(F.when(_opaque(url), F.lit("")).otherwise(path), _piece(url, 5)).rlike(
-        _BAD_ESCAPE
-    )
-    return (
-        ~url.rlike(_CONTROL)
-        & ~colon_first
-        & escapes_ok
-        & host.rlike(_HOST)
-        & host.rlike(_PORT)
-        & _userinfo(url).rlike(_USERINFO)
-        & ~_userinfo(url).rlike(_BAD_ESCAPE)
-    )
+    return url.rlike(_PLAIN_URL) | _let(_pieces(url), _well_formed)
 
 
 def _reescape(text: Column, kept: str) -> Column:
@@ -119,41 +128,43 @@ def _reescape(text: Column, kept: str) -> Column:
 
 
 def _escaped(text: Column, legal: str, kept: str) -> Column:
-    return F.when(text.rlike(f"^[{legal}]*$"), text).otherwise(_reescape(text, kept))
+    return F.when(text.rlike(f"^[{legal}]*\\z"), text).otherwise(_reescape(text, kept))
 
 
 def _escaped_path(url: Column) -> Column:
-    return _escaped(_piece(url, 3), _PATH_LEGAL, _PATH_KEPT)
+    return _escaped(url["path"], _PATH_LEGAL, _PATH_KEPT)
 
 
 def _escaped_fragment(url: Column) -> Column:
-    fragment = _piece(url, 5)
+    """Fragment with its mark; an empty one disappears."""
+    fragment = url["fragment"]
     return F.when(fragment.isin("", "#"), F.lit("")).otherwise(
         F.concat(
-            F.lit("#"), _escaped(F.substring(fragment, 2, 1 << 30), _FRAGMENT_LEGAL, _FRAGMENT_KEPT)
+            F.lit("#"), _escaped(F.substring(fragment, 2, _REST), _FRAGMENT_LEGAL, _FRAGMENT_KEPT)
         )
     )
 
 
 def _escaped_host(url: Column) -> Column:
-    host = _raw_host(url)
-    return F.when(host.rlike(r"^[\x21-\x7E]*$"), host).otherwise(_reescape(host, _HOST_KEPT))
+    host = url["host"]
+    return F.when(host.rlike(r"^[\x21-\x7E]*\z"), host).otherwise(_reescape(host, _HOST_KEPT))
 
 
-def _assemble(url: Column, path: Column) -> Column:
-    """Canonical text of an absolute URL with ``path`` put in."""
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+def _assemble(url: Column, path: Column, scheme: Column | None = None) -> Column:
+    """Canonical text of an absolute URL, given its pieces and its final path."""
+    slash = F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
     return F.when(
-        _opaque(url),
-        F.concat(_scheme(url), F.lit(":"), _piece(url, 3), _piece(url, 4), _escaped_fragment(url)),
+        url["opaque"],
+        F.concat(url["scheme"], F.lit(":"), url["path"], url["query"], _escaped_fragment(url)),
     ).otherwise(
         F.concat(
-            _scheme(url),
+            url["scheme"] if scheme is None else scheme,
             F.lit("://"),
-            _userinfo(url),
+            url["user"],
             _escaped_host(url),
-            rooted,
-            _piece(url, 4),
+            slash,
+            path,
+            url["query"],
             _escaped_fragment(url),
         )
     )
@@ -161,12 +172,21 @@ def _assemble(url: Column, path: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Identity of a page; NULL when the text cannot be parsed."""
-    return F.when(is_parseable(url), _assemble(url, _escaped_path(url)))
+
+    def general(parts: Column) -> Column:
+        return F.when(
+            _well_formed(parts),
+            _let(_escaped_path(parts), lambda path: _assemble(parts, path)),
+        )
+
+    return F.when(url.rlike(_PLAIN_URL), url).otherwise(_let(_pieces(url), general))
 
 
 def url_host(url: Column) -> Column:
-    """Host with port, without user part, case kept."""
-    return _raw_host(url)
+    """Host with port, without user part, case kept; empty where there is none."""
+    return F.regexp_extract(
+        url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)(?:[^/?#]*@)?([^/?#@]*)", 1
+    )
 
 
 def decode_path(path: Column) -> Column:
@@ -178,26 +198,38 @@ def decode_path(path: Column) -> Column:
 
 def url_path(url: Column) -> Column:
     """Decoded path."""
-    return F.when(_opaque(url), F.lit("")).otherwise(decode_path(_piece(url, 3)))
+    return F.when(
+        url.rlike(_PLAIN_URL), F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    ).otherwise(
+        _let(
+            _pieces(url),
+            lambda parts: F.when(parts["opaque"], F.lit("")).otherwise(decode_path(parts["path"])),
+        )
+    )
 
 
 def url_parts(url: Column) -> Column:
     """Struct of scheme, host, decoded path, query and fragment; NULL if unparseable."""
-    return F.when(
-        is_parseable(url),
-        F.struct(
-            _scheme(url).alias("scheme"),
-            url_host(url).alias("host"),
-            url_path(url).alias("path"),
-            F.substring(_piece(url, 4), 2, 1 << 30).alias("query"),
-            decode_path(F.substring(_piece(url, 5), 2, 1 << 30)).alias("fragment"),
-        ),
-    )
+
+    def named(parts: Column) -> Column:
+        return F.when(
+            _well_formed(parts),
+            F.struct(
+                parts["scheme"].alias("scheme"),
+                parts["host"].alias("host"),
+                F.when(parts["opaque"], F.lit(""))
+                .otherwise(decode_path(parts["path"]))
+                .alias("path"),
+                F.substring(parts["query"], 2, _REST).alias("query"),
+                decode_path(F.substring(parts["fragment"], 2, _REST)).alias("fragment"),
+            ),
+        )
+
+    return _let(_pieces(url), named)
 
 
 def _without_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of a path."""
-    segments = F.split(path, "/", -1)
 
     def step(kept: Column, segment: Column) -> Column:
         return (
@@ -206,51 +238,66 @@ def _without_dots(path: Column) -> Column:
             .otherwise(F.concat(kept, F.array(segment)))
         )
 
-    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    tail = F.when(path.rlike(r"(?:^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    kept = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+    tail = F.when(path.rlike(r"(?:^|/)\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
     return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//", "/")
 
 
 def _tidy_path(path: Column) -> Column:
     return (
-        F.when(path == "", path)
-        .when(path.rlike(_DOT_SEGMENT), _without_dots(path))
-        .when(path.startswith("/"), path)
+        F.when(path.rlike(_DOT_SEGMENT), _without_dots(path))
+        .when((path == "") | path.startswith("/"), path)
         .otherwise(F.concat(F.lit("/"), path))
     )
 
 
-def resolve_url(base: Column, ref: Column) -> Column:
-    """``ref`` as seen from the page ``base`` (a canonical URL), in canonical form.
+def _resolve(base: Column, ref: Column) -> Column:
+    """The general way, on the pieces of both; ``ref`` is well-formed."""
+    same_page = (_escaped_path(ref) == "") & (ref["query"] == "")
 
-    Root-relative links, by far the most common ones, take the first branch.
-    """
-    origin = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
-    base_path = _escaped_path(base)
-    ref_path = _escaped_path(ref)
-    directory = F.regexp_extract(base_path, r"^(.*/)", 1)
-    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(F.concat(directory, ref_path))
-    query = _piece(ref, 4)
-    fragment = _escaped_fragment(ref)
-    inherited_query = F.when((ref_path == "") & (query == ""), _piece(base, 4)).otherwise(query)
-    inherited_fragment = F.when(
-        (ref_path == "") & (query == "") & (fragment == ""), _escaped_fragment(base)
-    ).otherwise(fragment)
-    with_base_scheme = F.concat(_scheme(base), F.lit(":"), ref)
-    plain = ref.rlike(rf"^/(?!/)[{_UNRESERVED}!$&'()*+,;=:@/]*$") & ~ref.rlike(_DOT_SEGMENT)
+    def merged(base_path: Column, ref_path: Column) -> Column:
+        directory = F.regexp_extract(base_path, r"^(.*/)", 1)
+        return (
+            F.when(ref_path == "", base_path)
+            .when(ref_path.startswith("/"), ref_path)
+            .otherwise(F.concat(directory, ref_path))
+        )
+
+    relative = F.concat(
+        base["scheme"],
+        F.lit("://"),
+        base["user"],
+        base["host"],
+        _let(merged(base["path"], _escaped_path(ref)), _tidy_path),
+        F.when(same_page, base["query"]).otherwise(ref["query"]),
+        F.when(same_page & ref["fragment"].isin("", "#"), base["fragment"]).otherwise(
+            _escaped_fragment(ref)
+        ),
+    )
+    own_path = _let(_escaped_path(ref), _tidy_path)
     return (
-        F.when(plain, F.concat(origin, ref))
-        .when(~is_parseable(ref), F.lit(None).cast("string"))
-        .when(_piece(ref, 1) != "", _assemble(ref, _tidy_path(ref_path)))
-        .when(_authority(ref) != "", _assemble(with_base_scheme, _tidy_path(ref_path)))
-        .otherwise(
-            F.concat(
-                origin,
-                F.when(ref_path == "", _tidy_path(base_path)).otherwise(_tidy_path(merged)),
-                inherited_query,
-                inherited_fragment,
-            )
+        F.when(ref["scheme"] != "", _assemble(ref, own_path))
+        .when(ref["host"] != "", _assemble(ref, own_path, base["scheme"]))
+        .otherwise(relative)
+    )
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """``ref`` as seen from the page ``base`` (a canonical URL), in canonical form."""
+    dotted = ref.rlike(_DOT_SEGMENT)
+    general = _let(
+        _pieces(ref),
+        lambda parts: F.when(
+            _well_formed(parts), _let(_pieces(base), lambda page: _resolve(page, parts))
+        ),
+    )
+    return (
+        F.when(
+            ref.rlike(_PLAIN_LINK) & ~dotted,
+            F.concat(F.regexp_extract(base, r"^([a-z][^:/?#]*://[^/?#]*)", 1), ref),
         )
+        .when(ref.rlike(_PLAIN_URL) & ~dotted, ref)
+        .otherwise(general)
     )
 
 
@@ -288,25 +335,31 @@ def url_key(url: Column) -> Column:
     query and fragment do not count. Escapes are decoded byte by byte, so paths that
     are no valid UTF-8 keep distinct keys. Unparseable text is hashed as it is.
     """
-    path = F.when(_opaque(url), F.lit("")).otherwise(_piece(url, 3))
-    host = F.lower(decode_path(_raw_host(url)))
-    tokens = F.regexp_extract_all(path, F.lit("%[0-9A-Fa-f]{2}|[^%]+"), F.lit(0))
-    path_hex = F.array_join(
-        F.transform(
-            tokens,
-            lambda token: F.when(token.startswith("%"), F.upper(F.substring(token, 2, 2))).otherwise(
-                F.hex(token)
+    simple_path = F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*?)/?(?:[?#].*)?\z", 1)
+
+    def general(parts: Column) -> Column:
+        tokens = F.regexp_extract_all(
+            parts["path"], F.lit("%[0-9A-Fa-f]{2}|[^%]+"), F.lit(0)
+        )
+        path_hex = F.array_join(
+            F.transform(
+                tokens,
+                lambda token: F.when(
+                    token.startswith("%"), F.upper(F.substring(token, 2, 2))
+                ).otherwise(F.hex(token)),
             ),
-        ),
-        "",
-    )
-    exact = F.unhex(F.regexp_replace(F.concat(F.hex(host), path_hex), r"2F$", ""))
-    simple = F.regexp_replace(F.concat(host, path), r"/\z", "")
-    return (
-        F.when(~is_parseable(url), F.sha2(url, 256))
-        .when(path.contains("%"), F.sha2(exact, 256))
-        .otherwise(F.sha2(simple, 256))
-    )
+            "",
+        )
+        whole = F.concat(F.hex(F.lower(decode_path(parts["host"]))), path_hex)
+        return (
+            F.when(~_well_formed(parts), F.sha2(parts["text"], 256))
+            .when(parts["opaque"], F.sha2(F.lit(""), 256))
+            .otherwise(F.sha2(F.unhex(F.regexp_replace(whole, "2F$", "")), 256))
+        )
+
+    return F.when(
+        url.rlike(_PLAIN_URL), F.sha2(F.concat(F.lower(url_host(url)), simple_path), 256)
+    ).otherwise(_let(_pieces(url), general))
 
 
 def url_key_raw(url: Column, compat: bool = False) -> Column:
