@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import html as markup
 import re
-from html.entities import html5
+import sys
+from html import entities
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Ship the parser with the job, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PARSED = "struct<body: string, hrefs: array<string>, refresh: string>"
 _ARROW = [pa.string(), pa.list_(pa.string()), pa.string()]
 
@@ -48,7 +53,7 @@ def _value(text: str) -> str:
 
     def decode(match: re.Match) -> str:
         name = match[1]
-        if name[0] != "#" and name + match[2] not in html5:
+        if name[0] != "#" and name + match[2] not in entities.html5:
             return match[0]
         return markup.unescape(match[0])
 

@@ -13,14 +13,16 @@ class CrawlNotFinished(RuntimeError):
     """The walk was still finding pages after the allowed number of rounds."""
 
 
-def _next_steps(front: DataFrame, edges: DataFrame, rows: int, heavy: bool) -> DataFrame:
+def _next_steps(front: DataFrame, edges: DataFrame, rows: int, size: int) -> DataFrame:
     """Rows of ``front`` joined with the links of their page.
 
-    ``edges`` already lies partitioned by page, so only the front is shuffled. When one
-    page is in the front of very many walks, its rows are spread over several tasks.
+    ``edges`` already lies partitioned by page, so only the front is shuffled. A page in
+    the front of very many walks has its rows spread over several tasks; a front of at
+    most ``rows`` rows cannot hold such a page. A page's own links come from one page
+    text and need no spreading.
     """
     links = edges.withColumnRenamed("src", "url")
-    if heavy:
+    if size > rows:
         return spread_join(front, links, ["url"], rows=rows)
     return front.join(links, "url")
 
@@ -67,14 +69,14 @@ def crawl(
         rounds = 0
         while True:
             front = state.filter("fresh").select("start", "url", "depth")
-            largest = front.groupBy("url").count().agg(F.max("count")).first()[0]
-            if largest is None:
+            size = front.count()
+            if not size:
                 break
             if max_rounds is not None and rounds >= max_rounds:
                 raise CrawlNotFinished(f"pages still being found after {rounds} rounds")
             rounds += 1
             reached = (
-                _next_steps(front, steps, rows, heavy=largest > rows)
+                _next_steps(front, steps, rows, size)
                 .select(
                     "start",
                     F.col("dst").alias("url"),
@@ -138,9 +140,9 @@ def crawl_exact(
                 raise CrawlNotFinished(f"paths still changing after {rounds} rounds")
             rounds += 1
             visited = state.filter(F.col("visit").isNotNull()).select("start", "url", "visit")
-            largest = visited.groupBy("url").count().agg(F.max("count")).first()[0] or 0
+            size = visited.count()
             tries = (
-                _next_steps(visited, steps, rows, heavy=largest > rows)
+                _next_steps(visited, steps, rows, size)
                 .withColumn("depth", F.col("visit.depth") + F.col("cost"))
                 .filter(F.col("depth") <= max_depth)
                 .filter(F.col("dst") != F.col("start"))
