@@ -54,12 +54,3 @@ def sort_emails(emails: Column) -> Column:
 def omit_empty(items: Column) -> Column:
     """NULL for an empty list, so that a JSON message leaves the field out."""
     return F.when(F.size(items) > 0, items)
-
-
-def mask_email(email: Column) -> Column:
-    """Hash of the local part, domain kept: for reports that must not name people."""
-    return F.concat(
-        F.substring(F.sha2(F.substring_index(email, "@", 1), 256), 1, 12),
-        F.lit("@"),
-        F.substring_index(email, "@", -1),
-    )

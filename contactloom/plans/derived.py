@@ -147,6 +147,55 @@ def seeds(pages: DataFrame) -> DataFrame:
     )
 
 
+def scan_seeds(pages: DataFrame) -> DataFrame:
+    """The seeds and, once each, all other pages of the hosts."""
+    others = site(pages).filter("k > 0").select(
+        (F.col("page_id") * 4).alias("seed_id"),
+        site_url(F.col("host"), F.col("k")).alias("url"),
+        (as_of() + F.make_dt_interval(secs=F.col("page_id") * 4)).alias("requested_at"),
+    )
+    return seeds(pages).unionByName(others)
+
+
+def faulty_seeds(pages: DataFrame) -> DataFrame:
+    """The given URLs, five of six spoilt in some way: ``seed_id, url``."""
+    url, kind = F.col("url"), F.col("page_id") % 6
+    return pages.select(
+        F.col("page_id").alias("seed_id"),
+        F.when(kind == 1, F.regexp_replace(url, "^https?://", ""))
+        .when(kind == 2, F.lit(""))
+        .when(kind == 3, F.regexp_replace(url, "://", "://bad host."))
+        .when(kind == 4, F.lit("https://"))
+        .when(kind == 5, F.concat(url, F.lit("#%zz")))
+        .otherwise(url)
+        .alias("url"),
+    )
+
+
+def snapshots(pages: DataFrame) -> DataFrame:
+    """Every page, and for every third an older copy with a negative id."""
+    older = pages.filter(F.col("page_id") % 3 == 0).select(
+        (-F.col("page_id") - 1).alias("page_id"), "url", F.lit("<p>old</p>").alias("html")
+    )
+    return pages.select("page_id", "url", "html").unionByName(older)
+
+
+def rewritten(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New results for two of three stored ones; every other of them is out of date."""
+    records, _ = results(pages)
+    number = F.substring("scan_id", 2, 20).cast("long")
+    kept = records.filter(number % 3 < 2).select(
+        "key",
+        F.concat(F.lit("w"), F.substring("scan_id", 2, 20)).alias("scan_id"),
+        (F.col("cached_at") + F.make_dt_interval(days=F.when(number % 3 == 0, 1).otherwise(-1)))
+        .alias("cached_at"),
+        F.lit(2).alias("depth"),
+        F.lit(1).alias("pages_visited"),
+        F.lit(1).alias("n_emails"),
+    )
+    return kept, kept.select("key", "scan_id", F.concat("scan_id", F.lit("@new.org")).alias("email"))
+
+
 def results(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored results of every site page: records and their addresses."""
     base = site(pages).select(

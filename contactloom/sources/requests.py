@@ -32,15 +32,18 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     A body is bad if it is no JSON object or a field of it is not text.
     """
     fields = [field.split()[0] for field in REQUEST_JSON.split(", ")]
-    value = F.try_parse_json(F.col(body))
+    # Within brackets, text after the end of the value is an error too.
+    boxed = F.try_parse_json(F.concat(F.lit("["), F.col(body), F.lit("]")))
+    value = F.try_variant_get(boxed, "$[0]", "variant")
     kind = F.schema_of_variant(value)
+    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
     odd = F.lit(False)
     for name in fields:
         part = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
         odd = odd | ~F.coalesce(part, F.lit("VOID")).isin("STRING", "VOID")
     shaped = kind.startswith("OBJECT") | (kind == "VOID")
     return (
-        df.withColumn("bad_json", value.isNull() | ~shaped | odd)
+        df.withColumn("bad_json", ~F.coalesce(alone & shaped & ~odd, F.lit(False)))
         .withColumn("_request", F.when(~F.col("bad_json"), F.from_json(body, REQUEST_JSON)))
         .select("*", *[F.col(f"_request.{name}").alias(name) for name in fields])
         .drop("_request")
