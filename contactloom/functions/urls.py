@@ -8,11 +8,11 @@ legal in a path or fragment percent-encoded.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contactloom.functions.binding import let
 from contactloom.functions.keywords import shortest_words
 
 # scheme, authority, path, query with its mark, fragment with its mark. Without a
@@ -47,11 +47,6 @@ _PLAIN_LINK = rf"^/(?!/)[{_PLAIN_PATH}]*\z"
 _REST = 1 << 30
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trim_blanks(text: Column) -> Column:
     """Strip all Unicode blanks from both ends (SQL ``trim`` strips spaces only)."""
     return F.regexp_replace(text, rf"^{_BLANKS}|{_BLANKS}\z", "")
@@ -99,7 +94,7 @@ def _well_formed(url: Column) -> Column:
 
 def is_parseable(url: Column) -> Column:
     """Whether the text has the syntax of a URL or URL reference."""
-    return url.rlike(_PLAIN_URL) | _let(_pieces(url), _well_formed)
+    return url.rlike(_PLAIN_URL) | let(_pieces(url), _well_formed)
 
 
 def _reescape(text: Column, kept: str) -> Column:
@@ -131,43 +126,33 @@ def _escaped(text: Column, legal: str, kept: str) -> Column:
     return F.when(text.rlike(f"^[{legal}]*\\z"), text).otherwise(_reescape(text, kept))
 
 
-def _escaped_path(url: Column) -> Column:
-    return _escaped(url["path"], _PATH_LEGAL, _PATH_KEPT)
-
-
-def _escaped_fragment(url: Column) -> Column:
-    """Fragment with its mark; an empty one disappears."""
-    fragment = url["fragment"]
-    return F.when(fragment.isin("", "#"), F.lit("")).otherwise(
-        F.concat(
-            F.lit("#"), _escaped(F.substring(fragment, 2, _REST), _FRAGMENT_LEGAL, _FRAGMENT_KEPT)
-        )
+def _ready(url: Column) -> Column:
+    """The pieces in canonical form; an empty fragment disappears."""
+    fragment = F.substring(url["fragment"], 2, _REST)
+    return F.struct(
+        url["scheme"].alias("scheme"),
+        url["user"].alias("user"),
+        F.when(url["host"].rlike(r"^[\x21-\x7E]*\z"), url["host"])
+        .otherwise(_reescape(url["host"], _HOST_KEPT))
+        .alias("host"),
+        F.when(url["opaque"], url["path"])
+        .otherwise(_escaped(url["path"], _PATH_LEGAL, _PATH_KEPT))
+        .alias("path"),
+        url["query"].alias("query"),
+        F.when(fragment == "", fragment)
+        .otherwise(F.concat(F.lit("#"), _escaped(fragment, _FRAGMENT_LEGAL, _FRAGMENT_KEPT)))
+        .alias("fragment"),
+        url["opaque"].alias("opaque"),
     )
 
 
-def _escaped_host(url: Column) -> Column:
-    host = url["host"]
-    return F.when(host.rlike(r"^[\x21-\x7E]*\z"), host).otherwise(_reescape(host, _HOST_KEPT))
-
-
-def _assemble(url: Column, path: Column, scheme: Column | None = None) -> Column:
-    """Canonical text of an absolute URL, given its pieces and its final path."""
+def _assemble(scheme: Column, url: Column, path: Column) -> Column:
+    """Text of an absolute URL, given its canonical pieces and its final path."""
     slash = F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(
-        url["opaque"],
-        F.concat(url["scheme"], F.lit(":"), url["path"], url["query"], _escaped_fragment(url)),
-    ).otherwise(
-        F.concat(
-            url["scheme"] if scheme is None else scheme,
-            F.lit("://"),
-            url["user"],
-            _escaped_host(url),
-            slash,
-            path,
-            url["query"],
-            _escaped_fragment(url),
-        )
+    authority = F.when(url["opaque"], F.lit("")).otherwise(
+        F.concat(F.lit("//"), url["user"], url["host"], slash)
     )
+    return F.concat(scheme, F.lit(":"), authority, path, url["query"], url["fragment"])
 
 
 def canonical_url(url: Column) -> Column:
@@ -176,10 +161,10 @@ def canonical_url(url: Column) -> Column:
     def general(parts: Column) -> Column:
         return F.when(
             _well_formed(parts),
-            _let(_escaped_path(parts), lambda path: _assemble(parts, path)),
+            let(_ready(parts), lambda own: _assemble(own["scheme"], own, own["path"])),
         )
 
-    return F.when(url.rlike(_PLAIN_URL), url).otherwise(_let(_pieces(url), general))
+    return F.when(url.rlike(_PLAIN_URL), url).otherwise(let(_pieces(url), general))
 
 
 def url_host(url: Column) -> Column:
@@ -201,7 +186,7 @@ def url_path(url: Column) -> Column:
     return F.when(
         url.rlike(_PLAIN_URL), F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
     ).otherwise(
-        _let(
+        let(
             _pieces(url),
             lambda parts: F.when(parts["opaque"], F.lit("")).otherwise(decode_path(parts["path"])),
         )
@@ -225,7 +210,7 @@ def url_parts(url: Column) -> Column:
             ),
         )
 
-    return _let(_pieces(url), named)
+    return let(_pieces(url), named)
 
 
 def _without_dots(path: Column) -> Column:
@@ -252,52 +237,44 @@ def _tidy_path(path: Column) -> Column:
 
 
 def _resolve(base: Column, ref: Column) -> Column:
-    """The general way, on the pieces of both; ``ref`` is well-formed."""
-    same_page = (_escaped_path(ref) == "") & (ref["query"] == "")
-
-    def merged(base_path: Column, ref_path: Column) -> Column:
-        directory = F.regexp_extract(base_path, r"^(.*/)", 1)
-        return (
-            F.when(ref_path == "", base_path)
-            .when(ref_path.startswith("/"), ref_path)
-            .otherwise(F.concat(directory, ref_path))
-        )
-
+    """The general way, on the raw pieces of ``base`` and the canonical ones of ``ref``."""
+    absolute = (ref["scheme"] != "") | (ref["host"] != "")
+    same_page = (ref["path"] == "") & (ref["query"] == "")
+    path = (
+        F.when(absolute | ref["path"].startswith("/"), ref["path"])
+        .when(ref["path"] == "", base["path"])
+        .otherwise(F.concat(F.regexp_extract(base["path"], r"^(.*/)", 1), ref["path"]))
+    )
+    tidy = F.when(ref["opaque"], path).otherwise(let(path, _tidy_path))
+    scheme = F.when(ref["scheme"] != "", ref["scheme"]).otherwise(base["scheme"])
     relative = F.concat(
         base["scheme"],
         F.lit("://"),
         base["user"],
         base["host"],
-        _let(merged(base["path"], _escaped_path(ref)), _tidy_path),
+        tidy,
         F.when(same_page, base["query"]).otherwise(ref["query"]),
-        F.when(same_page & ref["fragment"].isin("", "#"), base["fragment"]).otherwise(
-            _escaped_fragment(ref)
-        ),
-    )
-    own_path = _let(_escaped_path(ref), _tidy_path)
-    return (
-        F.when(ref["scheme"] != "", _assemble(ref, own_path))
-        .when(ref["host"] != "", _assemble(ref, own_path, base["scheme"]))
-        .otherwise(relative)
+        F.when(same_page & (ref["fragment"] == ""), base["fragment"]).otherwise(ref["fragment"]),
     )
+    return F.when(absolute, _assemble(scheme, ref, tidy)).otherwise(relative)
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """``ref`` as seen from the page ``base`` (a canonical URL), in canonical form."""
     dotted = ref.rlike(_DOT_SEGMENT)
-    general = _let(
-        _pieces(ref),
-        lambda parts: F.when(
-            _well_formed(parts), _let(_pieces(base), lambda page: _resolve(page, parts))
-        ),
-    )
+
+    def general(parts: Column) -> Column:
+        both = F.struct(_pieces(base).alias("base"), _ready(parts).alias("ref"))
+        resolved = let(both, lambda pair: _resolve(pair["base"], pair["ref"]))
+        return F.when(_well_formed(parts), resolved)
+
     return (
         F.when(
             ref.rlike(_PLAIN_LINK) & ~dotted,
             F.concat(F.regexp_extract(base, r"^([a-z][^:/?#]*://[^/?#]*)", 1), ref),
         )
         .when(ref.rlike(_PLAIN_URL) & ~dotted, ref)
-        .otherwise(general)
+        .otherwise(let(_pieces(ref), general))
     )
 
 
@@ -359,7 +336,7 @@ def url_key(url: Column) -> Column:
 
     return F.when(
         url.rlike(_PLAIN_URL), F.sha2(F.concat(F.lower(url_host(url)), simple_path), 256)
-    ).otherwise(_let(_pieces(url), general))
+    ).otherwise(let(_pieces(url), general))
 
 
 def url_key_raw(url: Column, compat: bool = False) -> Column:

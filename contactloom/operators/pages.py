@@ -17,8 +17,8 @@ from contactloom.functions.urls import (
 from contactloom.sources.pages import ok_pages
 
 
-def parse_pages(pages: DataFrame, mail_only: bool = True) -> DataFrame:
-    """Read every fetched page once: ``url, body, hrefs, target``.
+def parse_pages(pages: DataFrame, *carried: str, mail_only: bool = True) -> DataFrame:
+    """Read every fetched page once: ``url, body, hrefs, target`` and ``carried`` columns.
 
     ``target`` is where a page refresh leads, if it names a usable URL. With
     ``mail_only`` bodies without an ``@`` are empty.
@@ -26,28 +26,31 @@ def parse_pages(pages: DataFrame, mail_only: bool = True) -> DataFrame:
     parsed = ok_pages(pages).select(
         canonical_url(F.col("url")).alias("url"),
         parse_page(F.col("html"), mail_only=mail_only).alias("page"),
+        *carried,
     )
     return parsed.filter(F.col("url").isNotNull()).select(
         "url",
         F.col("page.body").alias("body"),
         F.col("page.hrefs").alias("hrefs"),
         parse_meta_refresh(F.col("page.refresh"), F.col("url")).alias("target"),
+        *carried,
     )
 
 
-def page_contents(pages: DataFrame) -> DataFrame:
+def page_contents(pages: DataFrame, *carried: str) -> DataFrame:
     """What a crawl needs of a page: ``url, hits, hrefs, target``.
 
     A page that is left by a refresh gives neither addresses nor links of its own.
     """
     own = F.col("target").isNull()
-    return parse_pages(pages).select(
+    return parse_pages(pages, *carried).select(
         "url",
         F.when(own, lower_hits(extract_emails(F.col("body"))))
         .otherwise(F.array().cast("array<string>"))
         .alias("hits"),
         F.when(own, F.col("hrefs")).otherwise(F.array().cast("array<string>")).alias("hrefs"),
         "target",
+        *carried,
     )
 
 
@@ -95,12 +98,12 @@ def page_emails(contents: DataFrame) -> DataFrame:
     return contents.select("url", F.explode(F.array_distinct("hits")).alias("email"))
 
 
-def mail_pages(pages: DataFrame) -> DataFrame:
+def mail_pages(pages: DataFrame, *carried: str) -> DataFrame:
     """Contents of only those pages whose markup may hold an address.
 
     The test runs in the scan stage; all other pages never reach Python.
     """
-    return page_contents(pages.filter(may_hold_email(F.col("html"))))
+    return page_contents(pages.filter(may_hold_email(F.col("html"))), *carried)
 
 
 def email_hits(contents: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.session import checkpointed
+from contactloom.session import checkpointed, estimated_bytes
 
 # Rows of one key that a single task may take.
 ROWS_PER_TASK = 1_000_000
+# Input of fewer bytes per allowed row is no trouble for a task even if it is all one key.
+_BYTES_PER_ROW = 64
 # Keys that are split at most; the rest are each below this fraction of all rows.
 MOST_HEAVY_KEYS = 10_000
 
@@ -32,6 +34,10 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_TASK) ->
     )
 
 
+def _is_small(df: DataFrame, rows: int) -> bool:
+    return estimated_bytes(df) <= rows * _BYTES_PER_ROW
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -42,9 +48,12 @@ def spread_join(
     """Inner or left equi-join whose left side may be dominated by a few keys.
 
     Rows of such a key are dealt over several tasks by a hash of the whole row, and
-    the matching right rows are repeated once per share. All other keys join as usual.
+    the matching right rows are repeated once per share. All other keys join as usual, and
+    so does a left side too small to need dealing.
     """
     keys = list(keys)
+    if _is_small(left, rows):
+        return left.join(right, keys, how)
     heavy = F.broadcast(heavy_keys(left, keys, rows))
     shares = F.coalesce(F.col("_shares"), F.lit(1))
     dealt = (
@@ -97,13 +106,16 @@ class Ordered:
     ) -> None:
         self.keys = list(keys)
         self.order = list(order)
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-        self.split = (largest or 0) > rows
+        self.df = df
+        self.split = not _is_small(df, rows) and self._largest() > rows
         if self.split:
             parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             ranged = df.repartitionByRange(parts, *self.keys, *self.order)
-            df = checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
-        self.df = df
+            self.df = checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
+
+    def _largest(self) -> int:
+        """Rows of the largest key."""
+        return self.df.groupBy(*self.keys).count().agg(F.max("count")).first()[0] or 0
 
     def with_df(self, df: DataFrame) -> Ordered:
         """The same cut over changed rows (columns added, rows dropped)."""

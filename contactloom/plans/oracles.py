@@ -457,4 +457,14 @@ ORACLES: dict[str, str] = {
         WITH {_ATTEMPTS}
         SELECT job_id, CAST(a AS INTEGER) AS attempt, CAST(2 * a AS INTEGER) AS wait_s
         FROM (SELECT DISTINCT job_id FROM attempts), generate_series(1, 2) AS s(a)""",
+    "stream_contacts": f"""
+        WITH {_SITE}
+        SELECT DISTINCT host, 'info.' || (k % 7) || '@' || host AS email
+        FROM named WHERE NOT bad AND NOT refr""",
+    "stream_job_state": f"""
+        WITH {_JOB_EVENTS}
+        SELECT job_id, status, epoch_us(created_at) AS created_at,
+               epoch_us(started_at) AS started_at, epoch_us(completed_at) AS completed_at,
+               epoch_us(updated_at) AS updated_at, active
+        FROM job""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from contactloom.functions import emails as E
 from contactloom.functions import urls as U
@@ -14,10 +16,13 @@ from contactloom.operators import addresses, delivery, graph, jobs, pages, resul
 from contactloom.options import ScanOptions
 from contactloom.plans import derived as D
 from contactloom.plans.outcomes import complete_from_results, job_outcomes
-from contactloom.plans.scan import scan
-from contactloom.session import stored
+from contactloom.plans.scan import Scan, scan
+from contactloom.session import shared_dir, stored
 from contactloom.sources import messages, requests
 from contactloom.sources.pages import latest_pages, with_status
+from contactloom.streaming import contacts
+from contactloom.streaming import jobs as live_jobs
+from contactloom.streaming import scan as live_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,17 +245,24 @@ def crawl_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def scan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All seeds against the stored results and the site pages."""
+def _scan(
+    spark: SparkSession, sf_dir: str, seeds: Callable[[DataFrame], DataFrame], options: ScanOptions
+) -> Scan:
+    """A scan of derived seeds over derived pages and results, all of them tables first."""
     given = _pages(spark, sf_dir)
-    done = scan(
-        D.scan_seeds(given),
-        D.site_pages(given).select("page_id", "url", "status", "html"),
-        results.Results(*D.results(given)),
+    return scan(
+        stored(seeds(given)),
+        stored(D.site_pages(given).select("page_id", "url", "status", "html")),
+        results.Results(*map(stored, D.results(given))),
         D.as_of(),
-        OPTIONS,
+        options,
     )
+
+
+@query
+def scan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seeds against the stored results and the site pages."""
+    done = _scan(spark, sf_dir, D.scan_seeds, OPTIONS)
     answers = done.responses.join(_joined_lists(done.answers), ["key", "scan_id"], "left")
     return answers.select(
         "seed_id",
@@ -266,14 +278,7 @@ def scan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_uncached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same seeds with the cache switched off."""
-    given = _pages(spark, sf_dir)
-    done = scan(
-        D.seeds(given),
-        D.site_pages(given).select("page_id", "url", "status", "html"),
-        results.Results(*D.results(given)),
-        D.as_of(),
-        ScanOptions(cache_enabled=False),
-    )
+    done = _scan(spark, sf_dir, D.seeds, ScanOptions(cache_enabled=False))
     return done.responses.select("seed_id", "from_cache", "pages_visited", "n_emails")
 
 
@@ -536,3 +541,97 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = D.attempts(D.table(spark, sf_dir, "events"))
     sent = log.select("job_id").distinct()
     return delivery.backoff_schedule(sent, OPTIONS.webhook_retries)
+
+
+# Streams: the input arrives in three parts, each worked off before the next; the sink is
+# read back.
+
+
+def _in_parts(
+    df: DataFrame, order: str, path: str, start: Callable[[DataFrame], DataStreamWriter]
+) -> None:
+    """Let ``df`` arrive at ``path`` in the order of ``order`` and run the stream each time."""
+    spark = df.sparkSession
+    place = F.col(order).cast("double")
+    low, high = df.agg(F.percentile_approx(place, [0.34, 0.67])).first()[0]
+    for part in (place <= low, (place > low) & (place <= high), place > high):
+        df.filter(part).write.mode("append").parquet(path)
+        source = spark.readStream.schema(df.schema).parquet(path)
+        start(source).trigger(availableNow=True).start().awaitTermination()
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+
+@query
+def stream_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses per host, from the site pages as they come in."""
+    folder = _folder(spark)
+    given = D.site_pages(_pages(spark, sf_dir)).select(
+        "url",
+        "status",
+        "html",
+        (D.as_of() + F.make_dt_interval(secs=F.col("page_id"))).alias("fetched_at"),
+    )
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        found = contacts.stream_contacts(source, "fetched_at", "3650 days")
+        return found.writeStream.option("checkpointLocation", f"{folder}/progress").option(
+            "path", f"{folder}/out"
+        )
+
+    _in_parts(given, "fetched_at", f"{folder}/in", start)
+    schema = "fetched_at timestamp, host string, email string"
+    return spark.read.schema(schema).parquet(f"{folder}/out").select("host", "email")
+
+
+@query
+def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last state of every job, from its actions as they come in."""
+    folder = _folder(spark)
+    given = _events(spark, sf_dir)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        state = live_jobs.stream_job_state(source)
+        return (
+            state.writeStream.outputMode("update")
+            .foreachBatch(keep)
+            .option("checkpointLocation", f"{folder}/progress")
+        )
+
+    _in_parts(given, "ts", f"{folder}/in", start)
+    states = spark.read.schema(live_jobs.JOB_SCHEMA).parquet(f"{folder}/out")
+    newest = states.groupBy("job_id").agg(
+        F.max_by(F.struct(*states.columns), "version").alias("job")
+    )
+    times = ("created_at", "started_at", "completed_at", "updated_at")
+    return newest.select(
+        "job.job_id",
+        "job.status",
+        *[F.unix_micros(f"job.{ts}").alias(ts) for ts in times],
+        "job.active",
+    )
+
+
+@query
+def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of all requests, served batch by batch; later batches find earlier results."""
+    folder = _folder(spark)
+    given = _pages(spark, sf_dir)
+    asked = D.requests(given).withColumn(
+        "requested_at", D.as_of() + F.make_dt_interval(secs=F.col("request_id"))
+    )
+    site = stored(D.site_pages(given).select("page_id", "url", "status", "html"))
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        return live_scan.stream_scan(source, site, f"{folder}/out")
+
+    _in_parts(asked, "request_id", f"{folder}/in", start)
+    done = spark.read.parquet(f"{folder}/out/jobs")
+    return done.select(
+        "url", "webhook_url", "callback_id", "status", "pages_visited", "n_emails"
+    )

@@ -39,6 +39,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``; exact for stored tables, else generous."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     shared_dir(df.sparkSession)

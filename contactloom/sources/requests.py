@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.functions.binding import let
 from contactloom.functions.records import REQUEST_JSON
 from contactloom.functions.urls import default_scheme, is_parseable
 
@@ -34,20 +35,31 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     fields = [field.split()[0] for field in REQUEST_JSON.split(", ")]
     # Within brackets, text after the end of the value is an error too.
     boxed = F.try_parse_json(F.concat(F.lit("["), F.col(body), F.lit("]")))
-    value = F.try_variant_get(boxed, "$[0]", "variant")
-    kind = F.schema_of_variant(value)
-    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
-    odd = F.lit(False)
-    for name in fields:
-        part = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
-        odd = odd | ~F.coalesce(part, F.lit("VOID")).isin("STRING", "VOID")
-    shaped = kind.startswith("OBJECT") | (kind == "VOID")
-    return (
-        df.withColumn("bad_json", ~F.coalesce(alone & shaped & ~odd, F.lit(False)))
-        .withColumn("_request", F.when(~F.col("bad_json"), F.from_json(body, REQUEST_JSON)))
-        .select("*", *[F.col(f"_request.{name}").alias(name) for name in fields])
-        .drop("_request")
+
+    def kind(value: Column, path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+    def is_good(value: Column) -> Column:
+        whole = kind(value, "$[0]")
+        good = kind(value, "$[1]").isNull() & (whole.startswith("OBJECT") | (whole == "VOID"))
+        for name in fields:
+            part = F.coalesce(kind(value, f"$[0].{name}"), F.lit("VOID"))
+            good = good & part.isin("STRING", "VOID")
+        return F.coalesce(good, F.lit(False))
+
+    record = F.from_json(body, REQUEST_JSON)
+    row = let(
+        F.struct(boxed.alias("value"), record.alias("r")),
+        lambda read: let(
+            is_good(read["value"]),
+            lambda good: F.struct(
+                (~good).alias("bad_json"),
+                *[F.when(good, read["r"][name]).alias(name) for name in fields],
+            ),
+        ),
     )
+    # As a generated row the fields are read once, however often they are used later.
+    return df.select("*", F.inline(F.array(row)))
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
