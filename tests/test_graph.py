@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contactloom.operators import graph, pages
 from contactloom.operators.addresses import reach_emails
+from contactloom.session import checkpointed, fixed_layout, stored
 
 H = "https://h"
 
@@ -64,39 +65,76 @@ SITES = {
 EXACT = {"order trap 2": ["/p0", "/p1", "/p2", "/p3"]}
 
 
-def full(url):
-    return url if url.startswith("http") else H + url
+def place(name, text):
+    """Give every site a host of its own."""
+    return text.replace("//h", f"//{name.replace(' ', '-')}.test")
 
 
-def contents(spark, site):
-    rows = [(full(u), 404 if h.startswith("404") else 200, h) for u, h in site.items()]
-    return pages.page_contents(spark.createDataFrame(rows, "url string, status int, html string"))
+def full(name, url):
+    return place(name, url if url.startswith("http") else H + url)
 
 
-@pytest.mark.parametrize("name", SITES)
-def test_site(spark, name):
-    site, expected = SITES[name]
-    content = contents(spark, site).cache()
-    starts = spark.createDataFrame([(H + "/p0",)], "start string")
-    edges = pages.site_edges(content).cache()
+@pytest.fixture(scope="module")
+def content(spark):
+    rows = [
+        (full(name, url), 404 if html.startswith("404") else 200, place(name, html))
+        for name, (site, _) in SITES.items()
+        for url, html in site.items()
+    ]
+    pages_ = spark.createDataFrame(rows, "url string, status int, html string")
+    return stored(pages.page_contents(pages_))
+
+
+@pytest.fixture(scope="module")
+def starts(spark):
+    return spark.createDataFrame([(full(name, "/p0"),) for name in SITES], "start string")
+
+
+def by_start(rows, field):
+    found = {full(name, "/p0"): set() for name in SITES}
+    for row in rows:
+        found[row.start].add(row[field])
+    return found
+
+
+def test_sites(content, starts):
+    edges = stored(pages.site_edges(content))
     reach = graph.crawl(starts, edges)
-    assert sorted(r.url for r in reach.collect()) == sorted(map(full, expected))
-    mails = {r.email for r in reach_emails(reach, pages.page_emails(content)).collect()}
-    wanted = {w for h in site.values() for w in ("a@b.org", "yes@b.org") if w in h}
-    assert mails == wanted
+    expected = {
+        full(name, "/p0"): {full(name, url) for url in urls} for name, (_, urls) in SITES.items()
+    }
+    assert by_start(reach.collect(), "url") == expected
     exact = graph.crawl_exact(starts, edges)
-    assert sorted(r.url for r in exact.collect()) == sorted(map(full, EXACT.get(name, expected)))
-    only = graph.crawl(starts, edges, max_depth=-1)
-    assert only.count() == 0
-
-
-def test_depths(spark):
-    site, _ = SITES["order trap"]
-    edges = pages.site_edges(contents(spark, site)).cache()
-    starts = spark.createDataFrame([(H + "/p0",)], "start string")
-    got = {r.url: r.depth for r in graph.crawl(starts, edges).collect()}
-    assert (got[H + "/p4"], got[H + "/p5"]) == (1, 2)
-    assert graph.crawl(starts, edges, max_depth=0).count() == 1
+    expected |= {full(n, "/p0"): {full(n, url) for url in urls} for n, urls in EXACT.items()}
+    assert by_start(exact.collect(), "url") == expected
+    mails = by_start(reach_emails(reach, pages.page_emails(content)).collect(), "email")
+    for name, (site, _) in SITES.items():
+        wanted = {w for h in site.values() for w in ("a@b.org", "yes@b.org") if w in h}
+        assert mails[full(name, "/p0")] == wanted, name
+
+
+def test_bounds(content, starts):
+    edges = stored(pages.site_edges(content))
+    name = "order trap"
+    depths = {r.url: r.depth for r in graph.crawl(starts, edges).collect()}
+    assert (depths[full(name, "/p4")], depths[full(name, "/p5")]) == (1, 2)
+    zero = by_start(graph.crawl(starts, edges, max_depth=0).collect(), "url")
+    assert zero[full("chain", "/p0")] == {full("chain", "/p0")}
+    assert len(zero[full("contact chain", "/p0")]) == 10
+    assert graph.crawl(starts, edges, max_depth=-1).count() == 0
+
+
+def test_front_shuffles_but_edges_do_not(spark, content, starts):
+    """Within the loop neither the edges nor the state are shuffled again."""
+    with fixed_layout(spark) as parts:
+        edges = pages.site_edges(content).select("src", "dst", "cost")
+        edges = checkpointed(edges.repartition(parts, "src"))
+        front = checkpointed(
+            starts.select("start", F.col("start").alias("url")).repartition(parts, "start", "url")
+        )
+        joined = front.join(edges.withColumnRenamed("src", "url").hint("merge"), "url")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def walk(start, links, bound):
