@@ -16,6 +16,7 @@ from contactloom.functions.emails import dedup_emails
 from contactloom.functions.records import expires_at, from_record
 from contactloom.functions.urls import url_key_raw
 from contactloom.operators.skew import ROWS_PER_TASK, spread_join
+from contactloom.session import stored
 
 RECORD_SCHEMA = (
     "key string, scan_id string, cached_at timestamp, depth int, pages_visited int, n_emails int"
@@ -45,10 +46,10 @@ def write_results(results: Results, path: str) -> None:
     results.emails.write.parquet(f"{path}/emails")
 
 
-def results_from_json(stored: DataFrame) -> Results:
+def results_from_json(kept: DataFrame) -> Results:
     """Results kept as ``key, value`` with JSON values; an unreadable value is a miss."""
     record = from_record(F.col("value"))
-    rows = stored.select("key", record.alias("r")).filter(F.col("r").isNotNull())
+    rows = kept.select("key", record.alias("r")).filter(F.col("r").isNotNull())
     mails = F.coalesce(dedup_emails(F.col("r.emails")), F.array().cast("array<string>"))
     scan_id = F.lit("import")
     return Results(
@@ -102,15 +103,16 @@ def split_hits(
 def upsert_results(old: Results, new: Results) -> Results:
     """``old`` with the results of ``new`` put in; per key the latest write wins.
 
-    Only the keys of ``new`` are compared. The stored tables are passed through an anti
-    join, which streams them past a broadcast while the new keys are few.
+    Only the keys of ``new`` are compared. The rows that win are written out first, so that
+    their size is known: while they are few, the stored tables merely stream past a
+    broadcast of their keys.
     """
     newest = new.records.groupBy("key").agg(
         F.max_by(F.struct(*new.records.columns), F.struct("cached_at", "scan_id")).alias("r")
     )
     written = F.struct("cached_at", "scan_id")
     current = old.records.select("key", written.alias("stored"))
-    winners = (
+    winners = stored(
         newest.select("r.*")
         .join(current, "key", "left")
         .filter(F.col("stored").isNull() | (written >= F.col("stored")))

@@ -13,6 +13,7 @@ from contactloom.functions import emails as E
 from contactloom.functions import urls as U
 from contactloom.functions.records import expires_at, to_record
 from contactloom.operators import addresses, delivery, graph, jobs, pages, results
+from contactloom.operators.skew import spread_join
 from contactloom.options import ScanOptions
 from contactloom.plans import derived as D
 from contactloom.plans.outcomes import complete_from_results, job_outcomes
@@ -52,7 +53,8 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> results.Results:
-    return results.Results(*D.results(_pages(spark, sf_dir)))
+    """The stored results, as tables like those a scan reads."""
+    return results.Results(*map(stored, D.results(_pages(spark, sf_dir))))
 
 
 def _keyed_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +255,7 @@ def _scan(
     return scan(
         stored(seeds(given)),
         stored(D.site_pages(given).select("page_id", "url", "status", "html")),
-        results.Results(*map(stored, D.results(given))),
+        _results(spark, sf_dir),
         D.as_of(),
         options,
     )
@@ -344,7 +346,7 @@ def _result_rows(found: results.Results) -> DataFrame:
 
 @query
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = results.Results(*D.rewritten(_pages(spark, sf_dir)))
+    new = results.Results(*map(stored, D.rewritten(_pages(spark, sf_dir))))
     return _result_rows(results.upsert_results(_results(spark, sf_dir), new))
 
 
@@ -511,11 +513,12 @@ def webhook_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _results(spark, sf_dir)
     answered = done.filter("from_cache").select("job_id", U.url_key(F.col("url")).alias("key"))
     lists = addresses.email_lists(found.emails, ["key"])
+    answered = spread_join(answered, lists, ["key"])
     schema = (
         "job_id string, callback_id string, status string, url string, emails array<string>,"
         "crawl_time string, pages_visited int, completed_at string, error string"
     )
-    sent = delivery.webhook_payloads(done, answered.join(lists, "key").drop("key"), D.as_of())
+    sent = delivery.webhook_payloads(done, answered.drop("key"), D.as_of())
     return sent.select("webhook_url", "part", F.from_json("body", schema).alias("b")).select(
         "b.job_id",
         "webhook_url",

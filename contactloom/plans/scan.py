@@ -113,7 +113,8 @@ def scan(
             "leader",
         )
     )
-    emails = crawled.emails.join(records.select("start", "key", "scan_id"), "start").select(
+    names = records.select("start", "key", "scan_id")
+    emails = spread_join(crawled.emails, names, ["start"], rows=rows).select(
         "key", "scan_id", "email"
     )
     new = Results(records.drop("start", "leader"), emails)

@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from contactloom.functions.emails import omit_empty
 from contactloom.functions.records import duration_text, to_record
+from contactloom.operators.skew import ROWS_PER_TASK, spread_join
 
 # Fixed value: the time a new job is said to take.
 ESTIMATE = "30-60s"
 
 
-def scan_responses(responses: DataFrame, lists: DataFrame, compat: bool = True) -> DataFrame:
+def scan_responses(
+    responses: DataFrame, lists: DataFrame, compat: bool = True, rows: int = ROWS_PER_TASK
+) -> DataFrame:
     """JSON answers of a scan: ``seed_id, part, body``.
 
     ``lists`` holds the addresses per stored result (``key, scan_id, part, emails``). With
     ``compat`` an empty list is left out of the JSON, otherwise it is written as ``[]``.
     """
     seconds = F.col("crawl_seconds") if "crawl_seconds" in responses.columns else F.lit(None)
-    answered = responses.join(lists, ["key", "scan_id"], "left")
+    answered = spread_join(responses, lists, ["key", "scan_id"], "left", rows)
     part = F.coalesce("part", F.lit(0))
     emails = F.coalesce("emails", F.array().cast("array<string>"))
     shown = omit_empty(emails) if compat else F.when(F.col("error").isNull(), emails)

@@ -10,6 +10,7 @@ from contactloom.operators.addresses import email_lists
 from contactloom.operators.delivery import webhook_payloads
 from contactloom.operators.jobs import enqueue
 from contactloom.operators.results import Results, empty_results, read_results
+from contactloom.operators.skew import spread_join
 from contactloom.options import ScanOptions
 from contactloom.plans.scan import scan
 from contactloom.session import stored
@@ -74,8 +75,10 @@ def scan_requests(
 
     asked = jobs.select("key", "scan_id").distinct()
     found = done.answers.emails.join(asked, ["key", "scan_id"], "left_semi")
-    lists = jobs.select("job_id", "key", "scan_id").join(
-        email_lists(found, ["key", "scan_id"]), ["key", "scan_id"]
+    lists = spread_join(
+        jobs.select("job_id", "key", "scan_id"),
+        email_lists(found, ["key", "scan_id"]),
+        ["key", "scan_id"],
     )
     webhook_payloads(jobs, lists.select("job_id", "part", "emails"), as_of).write.mode(
         "overwrite"
