@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.functions.records import JOB_STATES
-from contactloom.operators.skew import ROWS_PER_TASK, Greatest, Last, Ordered
+from contactloom.operators.skew import ROWS_PER_TASK, Greatest, Last, Ordered, spread_join
 from contactloom.options import ScanOptions
 
 # Hours a job record is kept after its last accepted change.
@@ -23,6 +23,13 @@ _WRITES = ("enqueue", "complete", "fail")
 _STATE_OF = dict(zip(("enqueue", "start", "complete", "fail", "cancel"), JOB_STATES, strict=True))
 _LOG = ("job_id", "ts", "seq", "action")
 
+# Jobs in between two parts of the log; ``guard`` is the last action that was no cancel.
+STATE_SCHEMA = (
+    "job_id string, status string, created_at timestamp, started_at timestamp,"
+    "completed_at timestamp, updated_at timestamp, active boolean, guard string,"
+    "seen_at timestamp"
+)
+
 
 def _position() -> Column:
     return F.struct("ts", "seq")
@@ -32,16 +39,36 @@ def _kept_until(ts: Column, hours: int) -> Column:
     return ts + F.make_dt_interval(hours=F.lit(hours))
 
 
-def _judge(events: DataFrame, hours: int, rows: int) -> Ordered:
-    """The log with ``guarded`` (cancel of a running job) and ``expired`` (no record)."""
+def _judge(
+    events: DataFrame, hours: int, rows: int, state: DataFrame | None = None
+) -> Ordered:
+    """The log with ``guarded`` (cancel of a running job) and ``expired`` (no record).
+
+    ``state`` holds what earlier parts of the log came to.
+    """
     action = F.col("action")
+    if state is None:
+        nothing = {"_old_guard": F.lit(None).cast("string")}
+        nothing |= {"_old_ts": F.lit(None).cast("timestamp")}
+        events = events.withColumns(nothing)
+    else:
+        old = state.select(
+            "job_id",
+            F.col("guard").alias("_old_guard"),
+            F.col("updated_at").alias("_old_ts"),
+            F.col("seen_at").alias("_seen"),
+        )
+        late = F.col("ts") < F.col("_seen")
+        events = spread_join(events, old, ["job_id"], how="left", rows=rows)
+        events = events.filter(~F.coalesce(late, F.lit(False))).drop("_seen")
+
     log = Ordered(events, ["job_id"], ["ts", "seq"], rows).running(
         {"_guard": Last(F.when(action != "cancel", action))}, before=True
     )
+    running = F.coalesce("_guard", "_old_guard") == "start"
     log = log.with_df(
         log.df.withColumn(
-            "guarded",
-            F.coalesce((action == "cancel") & (F.col("_guard") == "start"), F.lit(False)),
+            "guarded", F.coalesce((action == "cancel") & running, F.lit(False))
         ).drop("_guard")
     )
     # A refused cancel does not renew the record, so it is left out of the times.
@@ -49,7 +76,7 @@ def _judge(events: DataFrame, hours: int, rows: int) -> Ordered:
     gap = (
         action.isin("start", "cancel")
         & ~F.col("guarded")
-        & (F.col("ts") >= _kept_until(F.col("_previous"), hours))
+        & (F.col("ts") >= _kept_until(F.coalesce("_previous", "_old_ts"), hours))
     )
     log = log.running(
         {
@@ -57,10 +84,15 @@ def _judge(events: DataFrame, hours: int, rows: int) -> Ordered:
             "_gap": Greatest(F.when(gap, _position())),
         }
     )
-    lost = F.col("_written").isNull() | F.coalesce(F.col("_gap") > F.col("_written"), F.lit(False))
+    lost = F.coalesce("_written.ts", "_old_ts").isNull() | F.coalesce(
+        F.when(F.col("_written").isNull(), F.col("_gap").isNotNull()).otherwise(
+            F.col("_gap") > F.col("_written")
+        ),
+        F.lit(False),
+    )
     return log.with_df(
         log.df.withColumn("expired", action.isin("start", "cancel") & lost).drop(
-            "_previous", "_written", "_gap"
+            "_previous", "_written", "_gap", "_old_guard", "_old_ts"
         )
     )
 
@@ -112,6 +144,40 @@ def job_expiry(
     )
 
 
+def _fold(
+    events: DataFrame, hours: int, rows: int, state: DataFrame | None = None
+) -> DataFrame:
+    """What a log, or a further part of one, does to each of its jobs."""
+    judged = _judge(events, hours, rows, state).result()
+    accepted = ~F.col("guarded") & ~F.col("expired")
+    action, ts = F.col("action"), F.col("ts")
+    ended = accepted & action.isin(*_ENDS)
+    names = F.create_map(*[F.lit(part) for pair in _STATE_OF.items() for part in pair])
+    return judged.groupBy("job_id").agg(
+        names[F.max_by("action", F.when(accepted, _position()))].alias("status"),
+        F.min(F.when(action == "enqueue", ts)).alias("created_at"),
+        F.max(F.when(accepted & (action == "start"), ts)).alias("started_at"),
+        F.max(F.when(ended, ts)).alias("completed_at"),
+        F.max(F.when(accepted, ts)).alias("updated_at"),
+        (~F.bool_or(ended)).alias("active"),
+        F.max_by("action", F.when(action != "cancel", _position())).alias("guard"),
+        F.max(ts).alias("seen_at"),
+        *[
+            F.max_by(name, F.when(accepted & F.col(name).isNotNull(), _position())).alias(name)
+            for name in _carried(events)
+        ],
+    )
+
+
+def _carried(events: DataFrame) -> list[str]:
+    return [name for name in events.columns if name not in _LOG]
+
+
+def visible_at(jobs: DataFrame, as_of: Column, hours: int = KEPT_HOURS) -> DataFrame:
+    """Add ``visible``: whether the job still has a record at ``as_of``."""
+    return jobs.withColumn("visible", as_of < _kept_until(F.col("updated_at"), hours))
+
+
 def fold_jobs(
     events: DataFrame, as_of: Column, hours: int = KEPT_HOURS, rows: int = ROWS_PER_TASK
 ) -> DataFrame:
@@ -120,39 +186,34 @@ def fold_jobs(
     ``active`` jobs have not ended; running out of time does not end a job. ``visible``
     jobs still have a record at ``as_of``.
     """
-    accepted = (
-        _judge(events, hours, rows).result().filter(~F.col("guarded") & ~F.col("expired"))
-    )
-    action, ts = F.col("action"), F.col("ts")
-    ended = action.isin(*_ENDS)
-    carried = [name for name in events.columns if name not in _LOG]
-    state = F.create_map(*[F.lit(part) for pair in _STATE_OF.items() for part in pair])
-    return (
-        accepted.groupBy("job_id")
-        .agg(
-            F.max_by("action", _position()).alias("_last"),
-            F.min(F.when(action == "enqueue", ts)).alias("created_at"),
-            F.max(F.when(action == "start", ts)).alias("started_at"),
-            F.max(F.when(ended, ts)).alias("completed_at"),
-            F.max(ts).alias("updated_at"),
-            (~F.bool_or(ended)).alias("active"),
-            *[
-                F.max_by(name, F.when(F.col(name).isNotNull(), _position())).alias(name)
-                for name in carried
-            ],
-        )
-        .select(
-            "job_id",
-            state[F.col("_last")].alias("status"),
-            "created_at",
-            "started_at",
-            "completed_at",
-            "updated_at",
-            "active",
-            (as_of < _kept_until(F.col("updated_at"), hours)).alias("visible"),
-            *carried,
-        )
-    )
+    folded = _fold(events, hours, rows).filter(F.col("status").isNotNull())
+    return visible_at(folded.drop("guard", "seen_at"), as_of, hours)
+
+
+def advance_jobs(
+    state: DataFrame, events: DataFrame, hours: int = KEPT_HOURS, rows: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Changed jobs after a further part of the log, given the state so far.
+
+    Rows older than the newest one seen of their job are late and dropped. Only jobs with
+    rows in ``events`` come out. The state has the columns of STATE_SCHEMA.
+    """
+    new = _fold(events.select(*_LOG), hours, rows, state)
+    old = state.select("job_id", F.struct(*state.columns).alias("old"))
+    both = new.join(old, "job_id", "left")
+
+    def newest(name: str) -> Column:
+        return F.coalesce(F.col(name), F.col(f"old.{name}")).alias(name)
+
+    return both.select(
+        "job_id",
+        newest("status"),
+        F.coalesce("old.created_at", "created_at").alias("created_at"),
+        *[newest(name) for name in ("started_at", "completed_at", "updated_at")],
+        (F.col("active") & F.coalesce("old.active", F.lit(True))).alias("active"),
+        newest("guard"),
+        newest("seen_at"),
+    ).filter(F.col("status").isNotNull())
 
 
 def enqueue(requests: DataFrame, now: Column) -> DataFrame:

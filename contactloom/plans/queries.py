@@ -593,31 +593,14 @@ def stream_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last state of every job, from its actions as they come in."""
     folder = _folder(spark)
-    given = _events(spark, sf_dir)
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     def start(source: DataFrame) -> DataStreamWriter:
-        state = live_jobs.stream_job_state(source)
-        return (
-            state.writeStream.outputMode("update")
-            .foreachBatch(keep)
-            .option("checkpointLocation", f"{folder}/progress")
-        )
+        return live_jobs.stream_job_state(source, folder)
 
-    _in_parts(given, "ts", f"{folder}/in", start)
-    states = spark.read.schema(live_jobs.JOB_SCHEMA).parquet(f"{folder}/out")
-    newest = states.groupBy("job_id").agg(
-        F.max_by(F.struct(*states.columns), "version").alias("job")
-    )
+    _in_parts(_events(spark, sf_dir), "ts", f"{folder}/in", start)
+    state = live_jobs.read_state(spark, folder, batch_id=2)
     times = ("created_at", "started_at", "completed_at", "updated_at")
-    return newest.select(
-        "job.job_id",
-        "job.status",
-        *[F.unix_micros(f"job.{ts}").alias(ts) for ts in times],
-        "job.active",
-    )
+    return state.select("job_id", "status", *[_micros(ts) for ts in times], "active")
 
 
 @query

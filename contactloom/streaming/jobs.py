@@ -2,118 +2,67 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from contactloom.operators.jobs import KEPT_HOURS
-
-# Ship the state function with the job, so that executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-JOB_SCHEMA = (
-    "job_id string, status string, created_at timestamp, started_at timestamp,"
-    "completed_at timestamp, updated_at timestamp, active boolean, visible boolean, version long"
-)
-# Times in microseconds; ``guard`` is the last action that was not a cancel.
-_STATE_SCHEMA = (
-    "status string, created long, started long, completed long, updated long,"
-    "active boolean, guard string, version long"
-)
-_STATUS = {
-    "enqueue": "queued", "start": "processing", "complete": "completed",
-    "fail": "failed", "cancel": "cancelled",
-}
-
-
-def _apply(state: dict, action: str, ts: int, kept: int) -> None:
-    """Change the state by one action, or leave it if the action is refused."""
-    running = state["guard"] == "start"
-    if action != "cancel":
-        state["guard"] = action
-    if action in ("start", "cancel"):
-        gone = state["updated"] is None or ts >= state["updated"] + kept
-        if gone or (action == "cancel" and running):
-            return
-    state["status"], state["updated"] = _STATUS[action], ts
-    state["version"] += 1
-    if action == "enqueue" and state["created"] is None:
-        state["created"] = ts
-    elif action == "start":
-        state["started"] = ts
-    elif action != "enqueue":
-        state["completed"], state["active"] = ts, False
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from contactloom.operators.jobs import KEPT_HOURS, STATE_SCHEMA, advance_jobs
+from contactloom.operators.skew import ROWS_PER_TASK
+from contactloom.session import stored
+
+
+def read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The jobs as a batch left them; none before the first batch."""
+    if batch_id < 0:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/state/batch={batch_id}")
+
+
+def expire_jobs(state: DataFrame, hours: int = KEPT_HOURS) -> DataFrame:
+    """Without jobs that have ended and whose record has run out by the newest action.
+
+    This bounds the state. An end that is reported again for such a job counts as its first.
+    """
+    newest = state.agg(F.max("seen_at")).first()[0]
+    kept = F.col("updated_at") + F.make_dt_interval(hours=F.lit(hours))
+    return state.filter(F.col("active") | (kept > F.lit(newest).cast("timestamp")))
+
+
+def advance_batch(
+    events: DataFrame, path: str, batch_id: int, hours: int, forget: bool, rows: int
+) -> None:
+    """Fold one batch into the state the batch before left, and write both to its folders.
+
+    The jobs of a batch are folded like a whole log, with windows that a busy job spans
+    over several tasks. The same batch run again writes the same folders again.
+    """
+    before = read_state(events.sparkSession, path, batch_id - 1)
+    changed = stored(advance_jobs(before, events, hours, rows))
+    changed.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+    state = before.join(changed.select("job_id"), "job_id", "left_anti").unionByName(changed)
+    if forget:
+        state = expire_jobs(state, hours)
+    state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
 
 
 def stream_job_state(
-    events: DataFrame, delay: str = "0 seconds", hours: int = KEPT_HOURS, forget: bool = False
-) -> DataFrame:
-    """State of each job that changed, once per batch; ``version`` counts its changes.
-
-    Needs ``job_id, ts, seq, action``. A job whose time runs out comes once more with
-    ``visible`` false. With ``forget`` the state of ended jobs is then given up, which
-    bounds the state; without it late ends still find the earlier times. The rows of a job
-    within one batch are sorted in memory, so limit the batch size at the source.
+    events: DataFrame,
+    path: str,
+    hours: int = KEPT_HOURS,
+    forget: bool = False,
+    rows: int = ROWS_PER_TASK,
+) -> DataStreamWriter:
+    """A writer that keeps the state of all jobs; set its trigger and start it.
+
+    Needs ``job_id, ts, seq, action``. Per batch it writes the jobs that changed and the
+    state of all jobs. With ``forget`` ended jobs are given up once their record has run out.
     """
-    kept = hours * 3_600_000_000
-    names = [field.split()[0] for field in _STATE_SCHEMA.split(",")]
-
-    def row(job_id: str, state: dict, visible: bool) -> pd.DataFrame:
-        def time(name: str) -> pd.Series:
-            return pd.Series(pd.to_datetime([state[name]], unit="us"))
-
-        return pd.DataFrame(
-            {
-                "job_id": [job_id],
-                "status": [state["status"]],
-                "created_at": time("created"),
-                "started_at": time("started"),
-                "completed_at": time("completed"),
-                "updated_at": time("updated"),
-                "active": [state["active"]],
-                "visible": [visible],
-                "version": [state["version"]],
-            }
-        )
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], group: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if group.exists:
-            state = dict(zip(names, group.get, strict=True))
-        else:
-            state = dict.fromkeys(names) | {"active": True, "version": 0}
-        if group.hasTimedOut:
-            if forget and not state["active"]:
-                group.remove()
-            if state["status"] is not None:
-                state["version"] += 1
-                if group.exists:
-                    group.update(tuple(state[name] for name in names))
-                yield row(key[0], state, visible=False)
-            return
-        before = state["version"]
-        actions = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        times = actions["ts"].astype("datetime64[us]").astype("int64")
-        for action, ts in zip(actions["action"], times, strict=True):
-            _apply(state, action, int(ts), kept)
-        group.update(tuple(state[name] for name in names))
-        if state["updated"] is not None:
-            due = (state["updated"] + kept) // 1000
-            if due > group.getCurrentWatermarkMs():
-                group.setTimeoutTimestamp(due)
-        if state["version"] > before:
-            yield row(key[0], state, visible=True)
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        advance_batch(batch, path, batch_id, hours, forget, rows)
 
     return (
         events.select("job_id", "ts", "seq", "action")
-        .withWatermark("ts", delay)
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            advance, JOB_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout
-        )
+        .writeStream.foreachBatch(advance)
+        .option("checkpointLocation", f"{path}/progress")
     )

@@ -12,6 +12,7 @@ from contactloom.functions.urls import url_key
 from contactloom.operators import addresses, delivery, jobs, results, skew
 from contactloom.options import ScanOptions
 from contactloom.plans.outcomes import job_outcomes
+from contactloom.session import stored
 from contactloom.sources import messages, requests
 
 T0 = dt.datetime(2024, 1, 1)
@@ -328,3 +329,26 @@ def test_durations(spark):
         elapsed_seconds(moment(0), moment(1))
     )
     assert span.first()[0] == 3600.0
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 3])
+def test_log_in_parts(spark, rows):
+    """A log folded part by part comes to the same as in one go."""
+    rng = random.Random(11)
+    kinds = ("start", "complete", "fail", "cancel", "start", "cancel")
+    data, hour = [], 0
+    for i in range(240):
+        hour += rng.choice((0, 1, 9, 30))
+        data.append((f"j{rng.randrange(4)}", at(hour), i, "enqueue" if i < 8 else rng.choice(kinds)))
+    schema = "job_id string, ts timestamp, seq long, action string"
+    whole = spark.createDataFrame(data, schema)
+    state = spark.createDataFrame([], jobs.STATE_SCHEMA)
+    for low in range(0, 240, 80):
+        part = whole.filter(f"seq >= {low} and seq < {low + 80}")
+        changed = stored(jobs.advance_jobs(state, part, rows=rows))
+        state = stored(state.join(changed, "job_id", "left_anti").unionByName(changed))
+    names = ["job_id", "status", "created_at", "started_at", "completed_at", "updated_at", "active"]
+    expected = jobs.fold_jobs(whole, now(), rows=rows).select(*names)
+    assert sorted(state.select(*names).collect()) == sorted(expected.collect())
+    late = whole.filter("seq < 40")
+    assert jobs.advance_jobs(state, late).count() == 0
