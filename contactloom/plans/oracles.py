@@ -166,20 +166,18 @@ attempts AS (
   FROM events)
 """
 
-_REQUEST_KINDS = (
-    _SITE
-    + """,
+_REQUEST = """
 spelt AS (
-  SELECT page_id * 4 + spelling AS id, spelling,
+  SELECT page_id * 4 + spelling AS id, spelling, host,
          CASE spelling WHEN 0 THEN 'https://' || host || '/p0' WHEN 1 THEN host || '/p0'
               WHEN 2 THEN 'https://' || upper(host) || '/p0/'
               ELSE 'http://' || host || '/p0?x=1' END AS url
   FROM named, range(4) AS s(spelling) WHERE k = 0),
 request AS (
-  SELECT id, id % 8 AS kind, CASE WHEN spelling = 1 THEN 'https://' || url ELSE url END AS target
+  SELECT id, host, id % 8 AS kind, CASE WHEN spelling = 1 THEN 'https://' || url ELSE url END AS target
   FROM spelt)
 """
-)
+_REQUEST_KINDS = f"{_SITE}, {_REQUEST}"
 
 
 def _decoded_host_and_path() -> str:
@@ -467,4 +465,14 @@ ORACLES: dict[str, str] = {
                epoch_us(started_at) AS started_at, epoch_us(completed_at) AS completed_at,
                epoch_us(updated_at) AS updated_at, active
         FROM job""",
+    # Every host has one good request; the one in capitals leads to no stored page.
+    "stream_scan": f"""
+        {_FIRST} {_REACH}, {_REQUEST}
+        SELECT target AS url, 'http://hook.invalid/' || id AS webhook_url,
+               CASE WHEN kind = 0 THEN 'cb-' || id END AS callback_id, 'completed' AS status,
+               CAST(CASE WHEN kind = 0 THEN (SELECT count(*) FROM reach
+                    WHERE reach.host = request.host) ELSE 1 END AS INTEGER) AS pages_visited,
+               CAST(CASE WHEN kind = 0 THEN (SELECT count(*) FROM mail
+                    WHERE mail.host = request.host) ELSE 0 END AS INTEGER) AS n_emails
+        FROM request WHERE kind IN (0, 6)""",
 }

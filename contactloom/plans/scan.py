@@ -48,7 +48,7 @@ def crawl_sites(
     """
     starts = starts.select("start").distinct()
     hosts = starts.select(url_host(F.col("start")).alias("host"))
-    contents = stored(page_contents(pages_of_hosts(latest_pages(pages, rows=rows), hosts)))
+    contents = stored(page_contents(latest_pages(pages_of_hosts(pages, hosts), rows=rows)))
     walk = crawl_exact if exact else crawl
     reach = walk(starts, site_edges(contents), options.max_depth, rows=rows)
     emails = stored(reach_emails(reach, page_emails(contents), rows))

@@ -62,7 +62,7 @@ def latest_pages(
 def pages_of_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """Pages on the given hosts (one column ``host``): the only ones a crawl can use."""
     return (
-        pages.withColumn("host", url_host(F.col("url")))
+        pages.withColumn("host", url_host(canonical_url(F.col("url"))))
         .join(hosts.select("host").distinct(), "host", "left_semi")
         .drop("host")
     )

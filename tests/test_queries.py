@@ -12,7 +12,7 @@ import __spark_entry__ as driver
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = ("pages", "documents", "events")
-NO_TWIN = {"crawl_exact_reach", "stream_scan"}
+NO_TWIN = {"crawl_exact_reach"}
 
 
 @pytest.fixture(scope="module")
