@@ -13,10 +13,15 @@ class CrawlNotFinished(RuntimeError):
     """The walk was still finding pages after the allowed number of rounds."""
 
 
+def _laid_out(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges partitioned and sorted by their page, once for all rounds."""
+    return checkpointed(edges.repartition(parts, "src").sortWithinPartitions("src"))
+
+
 def _next_steps(front: DataFrame, edges: DataFrame, rows: int, size: int) -> DataFrame:
     """Rows of ``front`` joined with the links of their page.
 
-    ``edges`` already lies partitioned by page, so only the front is shuffled. A page in
+    ``edges`` lies partitioned and sorted by page, so only the front is shuffled. A page in
     the front of very many walks has its rows spread over several tasks; a front of at
     most ``rows`` rows cannot hold such a page. A page's own links come from one page
     text and need no spreading.
@@ -54,7 +59,7 @@ def crawl(
             "start", F.col("start").alias("url"), F.lit(0).alias("depth")
         )
     with fixed_layout(starts.sparkSession) as parts:
-        steps = checkpointed(edges.select("src", "dst", "cost").repartition(parts, "src"))
+        steps = _laid_out(edges.select("src", "dst", "cost"), parts)
         state = checkpointed(
             starts.select("start")
             .distinct()
@@ -122,7 +127,7 @@ def crawl_exact(
     if max_depth < 0:
         return crawl(starts, edges, max_depth)
     with fixed_layout(starts.sparkSession) as parts:
-        steps = checkpointed(edges.select("src", "pos", "dst", "cost").repartition(parts, "src"))
+        steps = _laid_out(edges.select("src", "pos", "dst", "cost"), parts)
         state = checkpointed(
             starts.select("start")
             .distinct()

@@ -1,6 +1,8 @@
 """Golden cases of the column functions."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +229,36 @@ def test_dedup(spark):
 def test_no_python_in_url_plans(spark, build):
     df = spark.range(1).select(build(F.col("id").cast("string")))
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_addresses_like_the_plain_pattern(spark):
+    """The linear pattern finds what a scan with the plain one finds."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("aB9._%+-@@.. \nü", k=rng.randrange(1, 60))) for _ in range(3000)]
+    texts += ["a@b.co@c.dd@e.ff", "x.@y.zz%q@a.bcd-e@f.gh", "a@b.com_x@y.org"]
+    plain = re.compile(E.ADDRESS)
+    assert column(spark, texts, E.extract_emails) == [plain.findall(t) for t in texts]
+
+
+def test_body_text_of_all_pages(spark, sf_dir):
+    """Against plain text replacement, whole texts."""
+    import duckdb
+
+    from contactloom.plans.oracles import _BODY
+
+    path = f"{sf_dir}/pages.parquet"
+    texts = duckdb.sql(f"WITH pages AS (FROM '{path}'), {_BODY} SELECT page_id, body FROM text")
+    df = spark.read.parquet(path).select("page_id", H.body_text(F.col("html")).alias("body"))
+    assert {r.page_id: r.body for r in df.collect()} == dict(texts.fetchall())
+
+
+def test_reader_survives_any_markup():
+    rng = random.Random(4)
+    pieces = ["<", ">", "</", "a", " href=", '"', "'", "<!--", "-->", "<script>", "</script>", "&amp",
+              "<body>", "<meta http-equiv=refresh content='0;url=/x'>", "x@y.org", "/", "=", "<textarea>",
+              "<template>", "</template>", "<noscript>", "\n", "<frameset>", "<plaintext>"]
+    for _ in range(3000):
+        page = "".join(rng.choices(pieces, k=rng.randrange(30)))
+        body, hrefs, refresh = H.read_page(page)
+        assert isinstance(body, str) and all(isinstance(h, str) for h in hrefs)
+        assert refresh is None or refresh

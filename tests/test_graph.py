@@ -127,14 +127,14 @@ def test_bounds(content, starts):
 def test_front_shuffles_but_edges_do_not(spark, content, starts):
     """Within the loop neither the edges nor the state are shuffled again."""
     with fixed_layout(spark) as parts:
-        edges = pages.site_edges(content).select("src", "dst", "cost")
-        edges = checkpointed(edges.repartition(parts, "src"))
+        edges = graph._laid_out(pages.site_edges(content).select("src", "dst", "cost"), parts)
         front = checkpointed(
             starts.select("start", F.col("start").alias("url")).repartition(parts, "start", "url")
         )
         joined = front.join(edges.withColumnRenamed("src", "url").hint("merge"), "url")
         plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Sort [") == 1
 
 
 def walk(start, links, bound):
