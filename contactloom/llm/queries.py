@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from contactloom.llm import licenses, mixing
+from contactloom.llm import licenses, minhash, mixing
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op8_license_scan": licenses.op8_license_scan,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 ORACLES = {
