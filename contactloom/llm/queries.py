@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from contactloom.llm import licenses, minhash, mixing
+from contactloom.llm import language, licenses, minhash, mixing
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op7_language_id": language.op7_language_id,
     "op8_license_scan": licenses.op8_license_scan,
     "op10_minhash": minhash.op10_minhash,
 }
