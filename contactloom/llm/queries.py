@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from contactloom.llm import language, licenses, minhash, mixing
+from contactloom.llm import language, licenses, lines, minhash, mixing
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_language_id": language.op7_language_id,
     "op8_license_scan": licenses.op8_license_scan,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": lines.ORACLE,
     "op8_license_scan": licenses.ORACLE,
 }
