@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from contactloom.llm import language, licenses, lines, minhash, mixing
+from contactloom.llm import language, licenses, lines, minhash, mixing, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_vector_forest": vectors.op6_vector_forest,
     "op7_language_id": language.op7_language_id,
     "op8_license_scan": licenses.op8_license_scan,
     "op10_minhash": minhash.op10_minhash,
