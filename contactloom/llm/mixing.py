@@ -213,8 +213,9 @@ def mix_sources(
         .withColumn("block", F.floor(F.col("_edge") / block_words))
     )
     # Words of the chosen blocks up to an edge; the line's end lies in no block at times.
+    # The planner takes the exploded blocks for as small as the shards, hence the hint.
     up_to = (
-        laid.join(chosen, ["place", "shard", "block"], "left")
+        laid.join(chosen.hint("merge"), ["place", "shard", "block"], "left")
         .join(
             shards.select(
                 "place",
