@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from contactloom.llm import language, licenses, lines, minhash, mixing, vectors
+from contactloom.llm import edits, language, licenses, lines, minhash, mixing, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_edit_fingerprints": edits.op2_edit_fingerprints,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_vector_forest": vectors.op6_vector_forest,
     "op7_language_id": language.op7_language_id,
