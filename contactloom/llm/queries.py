@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from contactloom.llm import edits, language, licenses, lines, minhash, mixing, toxicity, vectors
+from contactloom.llm import disclosure, edits, language, licenses, lines, minhash, mixing, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_edit_fingerprints": edits.op2_edit_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_personal_data": disclosure.op5_personal_data,
     "op6_vector_forest": vectors.op6_vector_forest,
     "op7_language_id": language.op7_language_id,
     "op8_license_scan": licenses.op8_license_scan,
