@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactloom.llm import disclosure, edits, language, licenses, lines, minhash, mixing, toxicity, vectors
+from contactloom.llm import disclosure, edits, language, licenses, lines, minhash, mixing, pieces, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_vector_forest": vectors.op6_vector_forest,
     "op7_language_id": language.op7_language_id,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_sample_pieces": pieces.op9_sample_pieces,
     "op10_minhash": minhash.op10_minhash,
 }
 
