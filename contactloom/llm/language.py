@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,7 +240,7 @@ def train(
     return Model(langs, weight, (w[-1] / heat).astype(np.float64))
 
 
-def _predict(model: Model | None, buckets: int, orders: tuple[int, ...]):
+def _predict(model: Model | None, buckets: int, orders: tuple[int, ...], kept_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(buckets, orders)
         for batch in batches:
@@ -262,8 +262,8 @@ def _predict(model: Model | None, buckets: int, orders: tuple[int, ...]):
                 best = p.argmax(1)
                 for i in np.flatnonzero(some):
                     lang[at + i], score[at + i] = model.langs[best[i]], p[i, best[i]]
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
+            names = [c for c in batch.schema.names if c in kept_names]
+            kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(lang, pa.string()), pa.array(score)],
                 names=[*names, "lang_pred", "score"],
@@ -279,19 +279,19 @@ def identify(
     orders: tuple[int, ...] = ORDERS,
     folds: int = FOLDS,
     held_out: int = HELD_OUT,
+    keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every whole text.
+    """The columns ``keep``, and ``held_out, lang_pred, score`` of every whole text.
 
     A text that is NULL or has no letter is ``und`` with score 0, and so are all without a model.
     Every row gives a row, whatever its id; other columns are left out.
     """
-    given = docs.select(
-        "doc_id", (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text"
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    fold = (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out")
+    given = docs.select(*keep, fold, *[c for c in ("text",) if c not in keep])
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return given.mapInArrow(
-        _predict(model, buckets, orders),
-        f"doc_id {kind}, held_out boolean, lang_pred string, score double",
+        _predict(model, buckets, orders, [*keep, "held_out"]),
+        f"{kinds}, held_out boolean, lang_pred string, score double",
     )
 
 

@@ -107,7 +107,9 @@ def mix_sources(
     shard_words: int = SHARD_WORDS,
     most_copies: int = MOST_COPIES,
 ) -> DataFrame:
-    """How many words of each document the mix takes: ``doc_id, size, source_size, target, taken``.
+    """How many words of each document the mix takes.
+
+    ``doc_id, size, source_size, target, taken``, and ``place`` and ``shard``: the number of its source and its part of it.
 
     Sources in code point order, NULL last, weigh 1, 2, 3 and so on in turn and share as
     many words as there are (``capped_targets``). A source is cut into shards of about
@@ -248,14 +250,37 @@ def mix_sources(
             "source_size",
             "target",
             (F.col("each") * F.col("size") + F.col("_b") - F.col("_a")).cast("long").alias("taken"),
+            "place",
+            "shard",
         )
     )
     empty = placed.filter("size = 0").select(
-        "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "place", "shard"
     )
     return taken.unionByName(empty)
 
 
+def whole_copies(mix: DataFrame, most_copies: int = MOST_COPIES) -> DataFrame:
+    """``doc_id, copies``: how often each document of a mix is taken as a whole.
+
+    Shares taken of the documents of a shard are added up from the largest document down; a document gets a copy
+    whenever the sum passes a half. So copies hold as many words as the mix takes, but for less than the largest document of each shard,
+    and documents that the mix does not reach are left out.
+    """
+    share = F.col("taken") / F.col("size")
+    order = Window.partitionBy("place", "shard").orderBy(F.desc("size"), _draw(F.lit("copy"), F.col("doc_id")))
+    upto = F.sum(share).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        mix.filter("size > 0")
+        .withColumn("_upto", F.round(upto, 9))
+        .withColumn("_from", F.round(F.col("_upto") - share, 9))
+        .withColumn("copies", F.floor(F.col("_upto") + 0.5) - F.floor(F.col("_from") + 0.5))
+        .withColumn("copies", F.least(F.col("copies"), F.lit(most_copies)).cast("int"))
+        .filter("copies > 0")
+        .select("doc_id", "copies")
+    )
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mix_sources(table(spark, sf_dir, "documents"))
