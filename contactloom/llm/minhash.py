@@ -16,9 +16,10 @@ from contactloom.llm.shingles import RUN_BYTES, WORDS, Shingler, mixed
 from contactloom.llm.tables import by_size, small, table, text_key
 from contactloom.session import stored
 
-BANDS = 24
-ROWS = 5
-BITS = 4
+# A pair at the threshold misses all bands once in 26,000 times; one half as alike is rarely a candidate.
+BANDS = 32
+ROWS = 8
+BITS = 2
 # Least share of common shingles, in hundredths of the union.
 PERCENT = 85
 
@@ -137,10 +138,10 @@ def estimated_similarity(left: Column, right: Column, hashes: int, bits: int = B
 
 
 def _cutoff(percent: int, hashes: int, bits: int) -> float:
-    """Six standard errors below the wanted similarity."""
+    """Five standard errors below the wanted similarity."""
     s, chance = percent / 100, 2.0**-bits
     match = s + (1 - s) * chance
-    return s - 6 * math.sqrt(match * (1 - match) / hashes) / (1 - chance)
+    return s - 5 * math.sqrt(match * (1 - match) / hashes) / (1 - chance)
 
 
 def _confirmed(
@@ -158,6 +159,52 @@ def _confirmed(
     )
 
 
+def _beside_head(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """How each class differs from its bucket's head: ``head, class, n, lost, shared``.
+
+    ``n`` is the size of its set, ``lost`` the number of the head's shingles that it lacks, ``shared`` the number of
+    shingles it has beyond the head's that another class of this head has too.
+    """
+    of = lambda side: sets.select(F.col("class").alias(side), F.col("shingles").alias(f"_{side}"))
+    apart = stored(
+        star.join(of("head"), "head")
+        .join(of("class"), "class")
+        .select(
+            "head",
+            "class",
+            F.size("_class").alias("n"),
+            F.size(F.array_except("_head", "_class")).alias("lost"),
+            F.array_except("_class", "_head").alias("_new"),
+        )
+    )
+    new = apart.select("head", "class", F.explode("_new").alias("shingle"))
+    common = new.groupBy("head", "shingle").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    shared = (
+        new.join(common, ["head", "shingle"])
+        .groupBy("head", "class")
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+    return (
+        apart.withColumn("_added", F.size("_new"))
+        .drop("_new")
+        .join(shared, ["head", "class"], "left")
+        .withColumn("shared", F.coalesce("shared", F.lit(0)))
+    )
+
+
+def _may_be_alike(percent: int) -> Column:
+    """Whether two classes of one head, ``u`` and ``v``, can be alike enough at all.
+
+    They differ by what one differs from the head and the other does not. Of what they lost they have at most the
+    lesser number in common, of what they added at most the lesser number that is shared. If even then
+    the difference is too large for the sizes, they are not alike; this lets no alike pair go.
+    """
+    apart = sum(F.col(f"{x}.lost") + F.col(f"{x}._added") for x in "uv")
+    common = F.least("u.lost", "v.lost") + F.least("u.shared", "v.shared")
+    # Similarity s of sets of n and m allows a difference of (1 - s) / (1 + s) * (n + m).
+    return (100 + percent) * (apart - 2 * common) <= (100 - percent) * (F.col("u.n") + F.col("v.n"))
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = PERCENT,
@@ -166,15 +213,15 @@ def near_duplicates(
     rows: int = ROWS,
     bits: int = BITS,
 ) -> DataFrame:
-    """Groups of near-duplicate texts: ``doc_id, n_shingles, component_id, kept``.
+    """Groups of near-duplicate texts: ``doc_id, n_shingles, component_id, kept``, and the text's key.
 
     Sets of distinct word shingles are signed with ``bands * rows`` minima. Documents of
     equal sets are one class. Classes that share all minima of a band are candidates; the
     packed low bits estimate their similarity and only pairs clearly below it are let go; the rest
     is confirmed on the full sets, read again from the texts of the candidates alone.
 
-    No bucket is expanded into all its pairs. First every member is compared with the
-    least of its bucket. Then only members of buckets that are still in different components are
+    No bucket is expanded into all its pairs. First every member is compared with the one member of its
+    bucket that meets the most others in all bands, in most cases the text the others were copied from. Then only members of buckets that are still in different components are
     compared with each other, so groups of near copies cost one pair per member; no link
     between components is lost, and links inside one do not change the result.
 
@@ -196,13 +243,16 @@ def near_duplicates(
         .select("class", "_of.*", "signature", "bands")
     )
     members = classes.select("class", F.posexplode("bands").alias("band", "key"))
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    buckets = stored(members.join(sizes, ["band", "key"]))
+    met = buckets.groupBy("class").agg(F.sum("_n").alias("_met"))
     heads = (
-        members.groupBy("band", "key")
-        .agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
-        .drop("_n")
+        buckets.join(met, "class")
+        .groupBy("band", "key")
+        .agg(F.max(F.struct("_met", "class")).alias("_most"))
+        .select("band", "key", F.col("_most.class").alias("head"))
     )
-    buckets = stored(members.join(heads, ["band", "key"]))
+    pairs = buckets.drop("_n").join(heads, ["band", "key"]).filter("class <> head")
     signatures = classes.select("class", "signature")
     cutoff = _cutoff(percent, hashes, bits)
 
@@ -213,38 +263,35 @@ def near_duplicates(
         alike = estimated_similarity(F.col("_u"), F.col("_v"), hashes, bits) >= cutoff
         return pairs.filter(alike).select("u", "v")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Stored, confirmed links among stored pairs."""
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-        sources = stored(
-            classes.join(wanted, "class", "left_semi").select("doc_id", "text_a", "text_b")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Full sets of some classes, from the texts of one document each."""
+        sources = classes.join(wanted, "class", "left_semi").select(
+            F.col("doc_id").alias("_id"), F.col("text_a").alias("_a"), F.col("text_b").alias("_b")
         )
+        sources = small(stored(sources))
         given = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), "text", *text_key(F.col("text"))
         )
-        sources = small(
-            sources.select(F.col("doc_id").alias("_id"), F.col("text_a").alias("_a"), F.col("text_b").alias("_b"))
-        )
         same = (
             (given["text_a"] == sources["_a"])
             & (given["text_b"] == sources["_b"])
             & given["doc_id"].eqNullSafe(sources["_id"])
         )
         texts = given.join(sources, same, "left_semi").select("text")
-        sets = texts.mapInArrow(_shingle_sets(words), _SETS).dropDuplicates(["class"])
-        return stored(_confirmed(pairs, sets, percent))
+        return texts.mapInArrow(_shingle_sets(words), _SETS).dropDuplicates(["class"])
 
     first = stored(
         likely(
-            buckets.filter("class <> head")
-            .select(F.col("head").alias("u"), F.col("class").alias("v"))
-            .distinct()
+            pairs.select(
+                F.least("head", "class").alias("u"), F.greatest("head", "class").alias("v")
+            ).distinct()
         )
     )
-    links = confirmed(first)
+    ends = first.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    links = stored(_confirmed(first, sets_of(ends), percent))
     roots = stored(components(links))
-    rest = buckets.join(roots, F.col("class") == F.col("node"), "left").select(
-        "band", "key", "class", F.coalesce("root", "class").alias("root")
+    rest = pairs.join(roots, F.col("class") == F.col("node"), "left").select(
+        "band", "key", "head", "class", F.coalesce("root", "class").alias("root")
     )
     mixed_buckets = (
         rest.groupBy("band", "key")
@@ -252,27 +299,28 @@ def near_duplicates(
         .filter("_lo < _hi")
         .select("band", "key")
     )
-    apart = stored(rest.join(mixed_buckets, ["band", "key"], "left_semi").join(signatures, "class"))
-    u, v = apart.alias("u"), apart.alias("v")
-    cross = (
-        u.join(
-            v,
-            (F.col("u.band") == F.col("v.band"))
-            & (F.col("u.key") == F.col("v.key"))
-            & (F.col("u.class") < F.col("v.class"))
-            & (F.col("u.root") != F.col("v.root"))
-            & (
-                estimated_similarity(F.col("u.signature"), F.col("v.signature"), hashes, bits)
-                >= cutoff
-            ),
-        )
-        .select(F.col("u.class").alias("u"), F.col("v.class").alias("v"))
-        .distinct()
-        .join(first, ["u", "v"], "left_anti")
+    apart = stored(rest.join(mixed_buckets, ["band", "key"], "left_semi"))
+    star = apart.select("head", "class").distinct()
+    sets = stored(sets_of(star.select(F.explode(F.array("head", "class")).alias("class")).distinct()))
+    rows = stored(
+        apart.join(_beside_head(star, sets), ["head", "class"]).join(signatures, "class")
     )
-    cross = stored(cross)
+    u, v = rows.alias("u"), rows.alias("v")
+    cross = u.join(
+        v,
+        (F.col("u.band") == F.col("v.band"))
+        & (F.col("u.key") == F.col("v.key"))
+        & (F.col("u.class") < F.col("v.class"))
+        & (F.col("u.root") != F.col("v.root"))
+        & _may_be_alike(percent)
+        & (
+            estimated_similarity(F.col("u.signature"), F.col("v.signature"), hashes, bits)
+            >= cutoff
+        ),
+    ).select(F.col("u.class").alias("u"), F.col("v.class").alias("v"))
+    cross = stored(cross.distinct().join(first, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
-        roots = components(links.unionByName(confirmed(cross)))
+        roots = components(links.unionByName(_confirmed(cross, sets, percent)))
     root_of = stored(
         classes.select("class", "doc_id")
         .join(roots, F.col("class") == F.col("node"), "left")
@@ -282,7 +330,7 @@ def near_duplicates(
     component = root_of.join(least, "root").select("class", "component_id")
     component = component.withColumnRenamed("class", "_class")
     return (
-        signed.select("doc_id", "n_shingles", "class")
+        signed.select("doc_id", "n_shingles", "class", "text_a", "text_b")
         .join(component, F.col("class") == F.col("_class"), "left")
         .select(
             "doc_id",
@@ -290,6 +338,8 @@ def near_duplicates(
             F.when(F.col("class").isNull(), F.col("doc_id"))
             .otherwise(F.col("component_id"))
             .alias("component_id"),
+            "text_a",
+            "text_b",
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
@@ -297,4 +347,5 @@ def near_duplicates(
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -17,6 +17,7 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from contactloom.llm import language, lines, minhash, mixing, pieces  # noqa: E402
+from contactloom.llm.tables import text_key  # noqa: E402
 from contactloom.session import shared_dir, stored  # noqa: E402
 
 # A language is taken as known from this score on.
@@ -49,10 +50,19 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = stored(kept)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group of near duplicates, the one with the least id.
+
+    Rows that repeat an id and a text are one document and stay together.
+    """
+    found = minhash.near_duplicates(docs)
+    kept = stored(
+        found.filter("kept")
+        .select(F.col("doc_id").alias("_id"), F.col("text_a").alias("_a"), F.col("text_b").alias("_b"))
+        .distinct()
+    )
+    a, b = text_key(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (a == F.col("_a")) & (b == F.col("_b"))
+    return docs.join(kept, same, "left_semi")
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
