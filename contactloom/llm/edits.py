@@ -20,7 +20,7 @@ SAMPLES = 64
 GRAM = 4
 # Characters of a run of texts that are walked together.
 RUN_CHARS = 3_000_000
-BANDS, BAND_DIGITS = 16, 6
+BANDS, BAND_DIGITS = 24, 5
 LEAST = 0.8
 
 _SYMBOLS, _PERIOD = 64, 4096

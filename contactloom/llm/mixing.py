@@ -284,3 +284,74 @@ def whole_copies(mix: DataFrame, most_copies: int = MOST_COPIES) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def _seats(items: str, group: str, order: str, weight: str, seats: str) -> str:
+    """Quotas seat by seat: all quotients ranked, as the rule has them."""
+    return f"""
+  SELECT {group}, {order}, count(*) FILTER (r <= {seats}) AS quota FROM (
+    SELECT *, row_number() OVER (
+             PARTITION BY {group} ORDER BY {weight}::DOUBLE / (2 * k - 1) DESC, {order}) AS r
+    FROM (SELECT *, unnest(range(1, {seats}::BIGINT + 1)) AS k FROM {items}) q) q
+  GROUP BY {group}, {order}"""
+
+
+ORACLE = f"""
+WITH sized AS (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+src AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source) s),
+weighed AS (SELECT *, (place - 1) % 3 + 1 AS weight, {MOST_COPIES} * source_size AS cap FROM src),
+levels AS (
+  SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / weight, place) AS n,
+         (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE
+           / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY cap::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(level, n) AS level FROM levels WHERE level * weight <= cap),
+target AS (
+  SELECT source, place, source_size, least(cap::DOUBLE, level.level * weight) AS target,
+         greatest(ceil(source_size / {SHARD_WORDS}.0), 1)::BIGINT AS shards
+  FROM levels, level),
+seats AS (
+  SELECT *, 0 AS every, round(sum(target) OVER () / {BLOCK_WORDS})::BIGINT AS seats FROM target),
+of_source AS ({_seats("seats", "every", "place", "target", "seats")}),
+placed AS (
+  SELECT sized.*, target.place, target.source_size, target.target, of_source.quota AS source_quota,
+         ('0x' || substr(md5('{SEED}|shard|' || doc_id), 1, 8))::BIGINT % shards AS shard
+  FROM sized JOIN target ON target.source IS NOT DISTINCT FROM sized.source
+  JOIN of_source ON of_source.place = target.place),
+part AS (
+  SELECT place, shard, sum(size)::BIGINT AS words, min(source_quota) AS source_quota
+  FROM placed WHERE size > 0 GROUP BY place, shard),
+of_part AS ({_seats("part", "place", "shard", "words", "source_quota")}),
+shards AS (
+  SELECT part.place, part.shard, ceil(words / {BLOCK_WORDS}.0)::BIGINT AS blocks,
+         least(of_part.quota, {MOST_COPIES} * ceil(words / {BLOCK_WORDS}.0))::BIGINT AS quota
+  FROM part JOIN of_part ON of_part.place = part.place AND of_part.shard = part.shard),
+chosen AS (
+  SELECT place, shard, block FROM (
+    SELECT *, row_number() OVER (
+             PARTITION BY place, shard
+             ORDER BY md5('{SEED}|block|' || place || '|' || shard || '|' || block), block) AS r
+    FROM (SELECT *, unnest(range(blocks)) AS block FROM shards) b) b
+  WHERE r <= quota % blocks),
+laid AS (
+  SELECT *, sum(size) OVER (
+           PARTITION BY place, shard ORDER BY md5('{SEED}|doc|' || doc_id), doc_id, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+  FROM placed WHERE size > 0),
+more AS (
+  SELECT l.doc_id, sum(least(stop, (block + 1) * {BLOCK_WORDS}) - greatest(stop - size, block * {BLOCK_WORDS})) AS words
+  FROM laid l JOIN chosen c ON c.place = l.place AND c.shard = l.shard
+   AND c.block * {BLOCK_WORDS} < stop AND (c.block + 1) * {BLOCK_WORDS} > stop - size
+  GROUP BY l.doc_id)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       CASE WHEN p.size = 0 THEN 0
+            ELSE (s.quota // s.blocks) * p.size + coalesce(more.words, 0) END::BIGINT AS taken,
+       p.place::INTEGER AS place, p.shard
+FROM placed p LEFT JOIN shards s ON s.place = p.place AND s.shard = p.shard
+LEFT JOIN more ON more.doc_id = p.doc_id"""

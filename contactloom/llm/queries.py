@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": lines.ORACLE,
+    "op4_mix_sources": mixing.ORACLE,
     "op8_license_scan": licenses.ORACLE,
 }
