@@ -15,13 +15,16 @@ from contactloom.llm.tables import by_size, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-RUN_CHARS = 400_000
+RUN_CHARS = 1_000_000
 
 _BLANK = 0x2581
 # Stands for a blank mark that is in the text itself; no piece holds it.
 _OWN_MARK = 0x110000
 _BASE = 0x9E3779B97F4A7C15
-_FILTER = 1 << 18
+_FILTER = 1 << 20
+# Steps of a path whose branches are drawn at first, and how far a draw can lie above its mass:
+# the least uniform draw is 2 ** -54.
+_STEPS, _REACH = 400, 54 * float(np.log(2))
 _A, _B, _C = (np.uint64(x) for x in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25))
 
 
@@ -91,8 +94,10 @@ class Sampler:
         self.hashes = hashes[order]
         self.ids = np.array(normal, np.int32)[order]
         self.scores = np.array([vocabulary.scores[i] for i in normal], np.float32)[order]
-        self.maybe = np.zeros(_FILTER, bool)
-        self.maybe[(self.hashes % np.uint64(_FILTER)).astype(np.int64)] = True
+        # Whether some piece may begin with a run of characters, by its hash.
+        self.begins = np.zeros(_FILTER, bool)
+        begun = np.array([self._hash(t) for t in {t[:k] for t in text for k in range(1, len(t) + 1)}])
+        self.begins[(begun % np.uint64(_FILTER)).astype(np.int64)] = True
         self.held = np.zeros(_OWN_MARK + 1, bool)
         self.held[[ord(c) for t in text for c in t]] = True
         self.single = np.zeros(_OWN_MARK + 1, bool)
@@ -131,25 +136,32 @@ class Sampler:
         return codes, start, first, np.searchsorted(start, first)
 
     def _lattice(self, codes: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """Chances and ids of edges by node, of the given units; nodes of a unit follow each other."""
+        """Edges of the given units: first node of each unit, row of each node, chances and ids by row.
+
+        What can follow a node depends on the rest of its unit alone, so nodes with the same
+        rest share a row. Chances are running sums over the lengths of edges.
+        """
         base = np.concatenate(([0], np.cumsum(size)))
-        n, m = int(base[-1]), self.longest
-        left = np.repeat(base[1:], size) - np.arange(n)
-        at = np.repeat(start - base[:-1], size) + np.arange(n)
-        score = np.full((n, m), -np.inf, np.float32)
+        left = np.repeat(base[1:], size) - np.arange(base[-1])
+        at = np.repeat(start - base[:-1], size) + np.arange(base[-1])
+        rest = (sums[at + left] - sums[at]) * self.inverses[at] + left.astype(np.uint64) * _A
+        _, some, row = np.unique(rest, return_index=True, return_inverse=True)
+        left, at = left[some], at[some]
+        n, m = len(some), self.longest
+        score = np.full((n, m), -np.inf)
         ids = np.zeros((n, m), np.int32)
-        inverse = self.inverses[at]
+        rows = np.arange(n)
         for k in range(1, m + 1):
-            rows = np.flatnonzero(left >= k)
+            rows = rows[left[rows] >= k]
             if not len(rows):
                 break
-            h = (sums[at[rows] + k] - sums[at[rows]]) * inverse[rows]
-            likely = self.maybe[(h % np.uint64(_FILTER)).astype(np.int64)]
-            rows, h = rows[likely], h[likely]
+            h = (sums[at[rows] + k] - sums[at[rows]]) * self.inverses[at[rows]]
+            begun = self.begins[(h % np.uint64(_FILTER)).astype(np.int64)]
+            rows, h = rows[begun], h[begun]
             place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             right = self.hashes[place] == h
-            rows, place = rows[right], place[right]
-            score[rows, k - 1], ids[rows, k - 1] = self.scores[place], self.ids[place]
+            score[rows[right], k - 1] = self.scores[place[right]]
+            ids[rows[right], k - 1] = self.ids[place[right]]
         # Characters that are no piece are spelt in bytes; longer spellings are written out later.
         odd = np.flatnonzero(~self.single[codes[at]])
         if len(odd):
@@ -158,29 +170,27 @@ class Sampler:
             n_bytes = 1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF)
             score[odd, 0] = n_bytes * self.byte_score
             ids[odd, 0] = np.where(real < 0x80, self.byte_ids[np.minimum(real, 127)], -real - 1)
-        back = np.zeros(n + 1, np.float32)
-        chance = np.ones((n, m), np.float32)
+        back = np.zeros(n)
         order = np.argsort(left, kind="stable")
         edges = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
         for d in range(1, len(edges)):
-            rows = order[edges[d - 1] : edges[d]]
-            if not len(rows):
+            own = order[edges[d - 1] : edges[d]]
+            if not len(own):
                 continue
             w = min(m, d)
-            s = score[rows, :w]
-            for k in range(1, w + 1):
-                if k < d:
-                    s[:, k - 1] += back[rows + k]
+            s = score[own, :w]
+            held = s > -np.inf
+            for k in range(1, min(w, d - 1) + 1):
+                s[:, k - 1] += back[row[some[own] + k]]
             top = s.max(1)
-            e = np.exp(s - top[:, None])
-            total = np.cumsum(e, 1)
-            back[rows] = top + np.log(total[:, -1])
-            chance[rows, :w] = total / total[:, -1:]
-            last = w - 1 - np.argmax(s[:, ::-1] > -np.inf, 1)
-            chance[rows[:, None], np.arange(w)[None, :]] = np.where(
-                np.arange(w)[None, :] >= last[:, None], 1.0, chance[rows, :w]
-            )
-        return base, chance, ids
+            total = np.cumsum(np.exp(s - top[:, None]), 1)
+            back[own] = top + np.log(total[:, -1])
+            last = w - 1 - np.argmax(held[:, ::-1], 1)
+            total /= total[:, -1:]
+            total[np.arange(w)[None, :] >= last[:, None]] = 1.0
+            score[own, :w] = total
+            score[own, w:] = 1.0
+        return base, row, score, ids
 
     @staticmethod
     def _uniform(seed: np.ndarray, a, b) -> np.ndarray:
@@ -188,15 +198,17 @@ class Sampler:
         x = mixed(mixed(seed + np.asarray(a).astype(np.uint64) * _A) + np.asarray(b).astype(np.uint64) * _B)
         return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
-    def _follow(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray, place: np.ndarray, chance, ids):
+    def _follow(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray, place: np.ndarray, row, chance):
         """A path by chance through each unit: flat edges by unit, and where each unit's begin."""
         n = len(node)
         kept, count, active = [], np.zeros(n, np.int64), np.arange(n)
+        seed = mixed(seed + place.astype(np.uint64) * _A)
         node, left, t = node.copy(), left.copy(), 0
         while len(active):
-            own = node[active]
+            own = row[node[active]]
             rows = chance[own]
-            u = self._uniform(seed[active], place[active], np.uint64(t))
+            x = mixed(seed[active] + np.array([t], np.uint64) * _B) >> np.uint64(11)
+            u = (x.astype(np.float64) + 0.5) * 2.0**-53
             pick = (u[:, None] >= rows).sum(1)
             line = np.arange(len(own))
             q = rows[line, pick] - np.where(pick > 0, rows[line, np.maximum(pick - 1, 0)], 0)
@@ -212,7 +224,7 @@ class Sampler:
         for t, (active, own, pick, q) in enumerate(kept):
             at = begin[active] + t
             out_node[at], out_pick[at], out_q[at] = own, pick, q
-        return begin, out_node, out_pick, out_q
+        return begin, out_node, out_pick, out_q, np.log(out_q)
 
     def sample(self, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """Per text up to ``k`` samples: ids, log chance, Gumbel draw, log inclusion score."""
@@ -226,55 +238,78 @@ class Sampler:
         # The code of a unit and its length; the cut of a text keeps units inside it.
         name = mixed((sums[start + size] - sums[start]) * self.inverses[start]) + size.astype(np.uint64)
         _, where, unit = np.unique(name, return_index=True, return_inverse=True)
-        base, chance, ids = self._lattice(codes, sums, start[where], size[where])
+        base, row, chance, ids = self._lattice(codes, sums, start[where], size[where])
         node = base[unit]
         text_of = np.repeat(np.arange(len(full)), np.diff(begin))
         seed = mixed(seeds[full].astype(np.uint64))
         place = np.arange(len(start)) - begin[:-1][text_of]
         drawn = [
-            self._follow(node, size, mixed(seed[text_of] + x), place, chance, ids)
+            self._follow(node, size, mixed(seed[text_of] + x), place, row, chance)
             for x in np.arange(1, k + 1, dtype=np.uint64) * _C
         ]
         for i, at in enumerate(full):
             a, b = int(begin[i]), int(begin[i + 1])
-            out[at] = self._search(i, a, b, node, size, seed[i], drawn, chance, ids, k)
+            out[at] = self._search(a, b, node, size, seed[i], drawn, row, chance, ids, k)
         return out
 
-    def _search(self, i, a, b, node, size, seed, drawn, chance, ids, k):
+    def _search(self, a, b, node, size, seed, drawn, rows, chance, ids, k):
         """Best-first search of one text, whose units are ``a`` to ``b``."""
         last = np.uint64(2**40)
 
-        def branches(q: np.ndarray, before: float, bound: float, r: int, skip: int):
-            """Masses and bounded draws of what a path leaves, from its edge ``skip`` on."""
-            log_q = np.log(q)
-            mass = before + np.cumsum(log_q) - log_q
-            with np.errstate(divide="ignore"):
-                mass = mass + np.log1p(-np.minimum(q, 1.0))
-            mass[q > 1 - 1e-6] = -np.inf
-            e = -np.log(self._uniform(np.full(1, seed), np.arange(skip, skip + len(q)), last + np.uint64(r)))
-            with np.errstate(divide="ignore"):
-                draw = mass - np.log(np.exp(mass - bound) + e)
-            return draw, before + log_q.sum()
-
-        begin, nodes, picks, qs = drawn[0]
-        own = slice(int(begin[a]), int(begin[b]))
-        path = (nodes[own], picks[own], qs[own])
+        class Branches:
+            """Draws of what a path leaves from its edge ``skip`` on, bounded by the path's own.
+
+            The masses fall along the path. Draws are made for the first steps, and for the others only when
+            they could be greater than what is there: no draw lies more than ``_REACH`` above its mass.
+            """
+
+            def __init__(self, path, skip: int, before: float, bound: float, r: int) -> None:
+                self.path, self.skip, self.before, self.bound, self.r = path, skip, before, bound, r
+                self.taken: dict[int, list[int]] = {}
+                self.upto = skip
+                self.draws = np.zeros(0)
+                self.more()
+
+            def more(self) -> None:
+                a = self.upto
+                b = min(len(self.path[2]), a + max(_STEPS, a - self.skip))
+                q, log_q = self.path[2][a:b], self.path[3][a:b]
+                with np.errstate(divide="ignore"):
+                    mass = self.before + np.cumsum(log_q) - log_q + np.log1p(-np.minimum(q, 1.0))
+                mass[q > 1 - 1e-13] = -np.inf
+                own = mixed(np.array([seed + np.uint64(self.r)]) * _B)
+                x = mixed(own + np.arange(a, b, dtype=np.uint64) * _A)
+                e = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+                with np.errstate(divide="ignore"):
+                    draw = mass - np.log(np.exp(mass - self.bound) + e)
+                self.draws = np.concatenate((self.draws, draw))
+                self.before += float(log_q.sum())
+                self.upto = b
+
+            def best(self) -> float:
+                while (top := self.draws.max(initial=-np.inf)) < self.before + _REACH:
+                    if self.upto == len(self.path[2]):
+                        break
+                    self.more()
+                return float(top)
+
+        begin, *edges = drawn[0]
+        path = tuple(x[int(begin[a]) : int(begin[b])] for x in edges)
         gumbel = -np.log(-np.log(float(self._uniform(np.full(1, seed), 0, last + np.uint64(99))[0])))
-        draw, log_p = branches(path[2], 0.0, gumbel, 0, 0)
-        found = [(path, log_p, gumbel)]
-        # Of each sample: its path, the draws of its branches and the edges they may not take again.
-        agenda = [[path, 0, draw, {}]]
+        found = [(path, gumbel)]
+        agenda = [Branches(path, 0, 0.0, gumbel, 0)]
         unit_begin = begin[a : b + 1] - begin[a]
         bounds = [unit_begin]
         while len(found) < k:
-            best = max(range(len(agenda)), key=lambda j: agenda[j][2].max(initial=-np.inf))
-            old, skip, draws, taken = agenda[best]
-            if not len(draws) or not np.isfinite(bound := draws.max()):
+            best = max(range(len(agenda)), key=lambda j: agenda[j].best())
+            branch = agenda[best]
+            bound, old, taken = branch.best(), branch.path, branch.taken
+            if not np.isfinite(bound):
                 break
-            s = skip + int(draws.argmax())
+            s = branch.skip + int(branch.draws.argmax())
             r = len(found)
             here = int(old[0][s])
-            row = np.diff(chance[here].astype(np.float64), prepend=0.0)
+            row = np.diff(chance[here], prepend=0.0)
             banned = taken.setdefault(s, [int(old[1][s])])
             row[banned] = 0.0
             rest = row.sum()
@@ -282,41 +317,43 @@ class Sampler:
             pick = int(np.searchsorted(np.cumsum(row), u * rest, "right"))
             pick = min(pick, int(np.flatnonzero(row)[-1]))
             w = int(np.searchsorted(bounds[best], s, "right")) - 1
-            end = int(node[a + w] + size[a + w])
-            full_row = np.diff(chance[here].astype(np.float64), prepend=0.0)
-            steps = [(here, pick, float(full_row[pick]))]
-            at, t = here + pick + 1, 0
+            before_here = int((old[1][bounds[best][w] : s] + 1).sum())
+            at, end = int(node[a + w]) + before_here, int(node[a + w] + size[a + w])
+            steps = [(here, pick, float(chance[here, pick] - (chance[here, pick - 1] if pick else 0)))]
+            at, t = at + pick + 1, 0
             while at < end:
                 u = float(self._uniform(np.full(1, seed), np.uint64(s), last + np.uint64(1_000 * (r + 1) + t))[0])
-                p = int((u >= chance[at]).sum())
-                steps.append((at, p, float(chance[at, p] - (chance[at, p - 1] if p else 0))))
+                on = int(rows[at])
+                p = int((u >= chance[on]).sum())
+                steps.append((on, p, float(chance[on, p] - (chance[on, p - 1] if p else 0))))
                 at, t = at + p + 1, t + 1
-            fresh_begin, fresh_nodes, fresh_picks, fresh_qs = drawn[r]
+            fresh_begin, *fresh = drawn[r]
             tail = slice(int(fresh_begin[a + w + 1]), int(fresh_begin[b]))
-            made = np.array(steps)
-            path = (
-                np.concatenate((old[0][:s], made[:, 0].astype(np.int64), fresh_nodes[tail])),
-                np.concatenate((old[1][:s], made[:, 1].astype(np.int64), fresh_picks[tail])),
-                np.concatenate((old[2][:s], made[:, 2], fresh_qs[tail])),
+            on, turn, q = (np.array(x) for x in zip(*steps, strict=True))
+            path = tuple(
+                np.concatenate((x[:s], new, y[tail]))
+                for x, new, y in zip(old, (on, turn, q, np.log(q)), fresh, strict=True)
             )
-            before = float(np.log(old[2][:s]).sum())
+            before = float(old[3][:s].sum())
             # What is left of the branch after this edge.
             banned.append(pick)
             left = rest - row[pick]
-            mass = before + np.log(left) if left > 1e-9 else -np.inf
+            mass = before + np.log(left) if left > 1e-15 else -np.inf
             e = -np.log(float(self._uniform(np.full(1, seed), np.uint64(s), last + np.uint64(500 + r))[0]))
-            draws[s - skip] = mass - np.log(np.exp(mass - bound) + e) if np.isfinite(mass) else -np.inf
-            after, log_p = branches(path[2][s + 1 :], before + float(np.log(path[2][s])), bound, r, s + 1)
-            found.append((path, log_p, float(bound)))
-            agenda.append([path, s + 1, after, {}])
+            branch.draws[s - branch.skip] = (
+                mass - np.log(np.exp(mass - bound) + e) if np.isfinite(mass) else -np.inf
+            )
+            found.append((path, bound))
+            agenda.append(Branches(path, s + 1, before + float(path[3][s]), bound, r))
             bounds.append(
                 np.concatenate(
                     (bounds[best][: w + 1], s + len(steps) + fresh_begin[a + w + 1 : b + 1] - fresh_begin[a + w + 1])
                 )
             )
-        rest = max((x[2].max(initial=-np.inf) for x in agenda), default=-np.inf)
+        rest = max(x.best() for x in agenda)
         result = []
-        for path, log_p, g in found:
+        for path, g in found:
+            log_p = float(path[3].sum())
             chosen = ids[path[0], path[1]]
             if (chosen < 0).any():
                 chosen = np.concatenate(
@@ -325,7 +362,7 @@ class Sampler:
                         for c in chosen.tolist()
                     ]
                 ).astype(np.int32)
-            result.append((chosen, float(log_p), float(g), _log_inclusion(log_p, rest)))
+            result.append((chosen, log_p, float(g), _log_inclusion(log_p, rest)))
         return result
 
 
