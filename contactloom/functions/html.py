@@ -27,6 +27,7 @@ _TAG = re.compile(
     r"""((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>=][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+"""
     r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>)))?+|=)*+)>"""
 )
+_NAME_START = re.compile(r"/?[a-zA-Z]")
 _ATTRIBUTE = re.compile(
     r"""([^ \t\n\f\r/>=][^ \t\n\f\r/>=]*)"""
     r"""(?:[ \t\n\f\r]*=[ \t\n\f\r]*(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r>]+)))?"""
@@ -91,7 +92,7 @@ def read_page(page: str) -> tuple[str, list[str], str | None]:
         if mark > at:
             add(page[at:mark])
         following = page[mark + 1 : mark + 3]
-        if following[:1].isascii() and following.lstrip("/")[:1].isalpha():
+        if _NAME_START.match(following):
             tag = _TAG.match(page, mark)
             if tag is None:  # the page ends inside a tag
                 break

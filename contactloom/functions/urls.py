@@ -34,6 +34,8 @@ _USERINFO = rf"^[{_UNRESERVED}!$&'()*+,;=:%@]*$"
 _CONTROL = r"[\x00-\x1F\x7F]"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
+# The same in a whole URL or link, where the path may be followed by a query or fragment.
+_DOT_IN_LINK = r"(?:^|/)\.\.?(?:/|$|[?#])"
 _BLANKS = r"[\x09-\x0D\x85\p{Z}]+"
 
 # URLs that are their own canonical text, and links that only need the origin put in
@@ -261,7 +263,7 @@ def _resolve(base: Column, ref: Column) -> Column:
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """``ref`` as seen from the page ``base`` (a canonical URL), in canonical form."""
-    dotted = ref.rlike(_DOT_SEGMENT)
+    dotted = ref.rlike(_DOT_IN_LINK)
 
     def general(parts: Column) -> Column:
         both = F.struct(_pieces(base).alias("base"), _ready(parts).alias("ref"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.operators.skew import ROWS_PER_TASK, spread_join
+from contactloom.operators.skew import ROWS_PER_TASK, heavy_keys, spread_join
 from contactloom.session import checkpointed, fixed_layout
 
 
@@ -21,15 +21,23 @@ def _laid_out(edges: DataFrame, parts: int) -> DataFrame:
 def _next_steps(front: DataFrame, edges: DataFrame, rows: int, size: int) -> DataFrame:
     """Rows of ``front`` joined with the links of their page.
 
-    ``edges`` lies partitioned and sorted by page, so only the front is shuffled. A page in
-    the front of very many walks has its rows spread over several tasks; a front of at
-    most ``rows`` rows cannot hold such a page. A page's own links come from one page
-    text and need no spreading.
+    ``edges`` lies partitioned and sorted by page and is never shuffled. The front is split: pages that are
+    in the front of at most ``rows`` walks join on the layout of the edges; of the others, which
+    are few, the links are picked out and the walks are spread over several tasks. A page's own links come
+    from one page text and need no spreading. A front of at most ``rows`` rows has no such page.
     """
     links = edges.withColumnRenamed("src", "url")
-    if size > rows:
-        return spread_join(front, links, ["url"], rows=rows)
-    return front.join(links, "url")
+    if size <= rows:
+        return front.join(links, "url")
+    heavy = checkpointed(heavy_keys(front, ["url"], rows).select("url"))
+    usual = front.join(heavy, "url", "left_anti").join(links, "url")
+    busy = spread_join(
+        front.join(heavy, "url", "left_semi"),
+        checkpointed(links.join(heavy, "url", "left_semi")),
+        ["url"],
+        rows=rows,
+    )
+    return usual.unionByName(busy.select(*usual.columns))
 
 
 def least_depth(state: DataFrame) -> DataFrame:

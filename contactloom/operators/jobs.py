@@ -58,6 +58,7 @@ def _judge(
             F.col("updated_at").alias("_old_ts"),
             F.col("seen_at").alias("_seen"),
         )
+        # Their place in the log is taken; ``late_actions`` names them.
         late = F.col("ts") < F.col("_seen")
         events = spread_join(events, old, ["job_id"], how="left", rows=rows)
         events = events.filter(~F.coalesce(late, F.lit(False))).drop("_seen")
@@ -75,7 +76,6 @@ def _judge(
     log = log.running({"_previous": Last(F.when(~F.col("guarded"), F.col("ts")))}, before=True)
     gap = (
         action.isin("start", "cancel")
-        & ~F.col("guarded")
         & (F.col("ts") >= _kept_until(F.coalesce("_previous", "_old_ts"), hours))
     )
     log = log.running(
@@ -97,6 +97,13 @@ def _judge(
     )
 
 
+def late_actions(state: DataFrame, events: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Actions older than the newest one already folded into the state of their job."""
+    seen = state.select("job_id", F.col("seen_at").alias("_seen"))
+    joined = spread_join(events, seen, ["job_id"], rows=rows)
+    return joined.filter(F.col("ts") < F.col("_seen")).drop("_seen")
+
+
 def judged_actions(
     events: DataFrame, hours: int = KEPT_HOURS, rows: int = ROWS_PER_TASK
 ) -> DataFrame:
@@ -114,21 +121,19 @@ def judged_actions(
     )
 
 
-def cancel_guard(events: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
-    """Cancel actions and whether they are refused because the job is being processed."""
-    action = F.col("action")
-    log = Ordered(events, ["job_id"], ["ts", "seq"], rows).running(
-        {"_guard": Last(F.when(action != "cancel", action))}, before=True
-    )
+def cancel_guard(
+    events: DataFrame, hours: int = KEPT_HOURS, rows: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Cancel actions and whether they are refused because the job is being processed.
+
+    A job whose record has run out is looked up first and not found, so its cancel is no refusal.
+    """
+    refused = F.col("guarded") & ~F.col("expired")
     return (
-        log.result()
-        .filter(action == "cancel")
-        .select(
-            "job_id",
-            "ts",
-            "seq",
-            F.coalesce(F.col("_guard") == "start", F.lit(False)).alias("refused"),
-        )
+        _judge(events, hours, rows)
+        .result()
+        .filter(F.col("action") == "cancel")
+        .select("job_id", "ts", "seq", refused.alias("refused"))
     )
 
 
@@ -139,7 +144,7 @@ def job_expiry(
     return (
         _judge(events, hours, rows)
         .result()
-        .filter(F.col("expired") & ~F.col("guarded"))
+        .filter("expired")
         .select(*_LOG)
     )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,22 +16,19 @@ from contactloom.session import checkpointed, estimated_bytes
 ROWS_PER_TASK = 1_000_000
 # Input of fewer bytes per allowed row is no trouble for a task even if it is all one key.
 _BYTES_PER_ROW = 64
-# Keys that are split at most; the rest are each below this fraction of all rows.
-MOST_HEAVY_KEYS = 10_000
+# Shares that rows without a key are dealt to; they match nothing, so nothing is repeated for them.
+_KEYLESS_SHARES = 1_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more than ``rows`` rows and the number of shares to cut each into.
 
-    Counted with map-side partial sums. The limit bounds the table, so it may be
-    broadcast; leaving a key out costs balance only, never rows.
+    Counted with map-side partial sums. There are at most as many as all rows over ``rows``.
     """
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > rows)
-        .orderBy(F.desc("_rows"))
-        .limit(MOST_HEAVY_KEYS)
         .select(*keys, F.ceil(F.col("_rows") / rows).cast("int").alias("_shares"))
     )
 
@@ -48,17 +47,24 @@ def spread_join(
     """Inner or left equi-join whose left side may be dominated by a few keys.
 
     Rows of such a key are dealt over several tasks by a hash of the whole row, and
-    the matching right rows are repeated once per share. All other keys join as usual, and
-    so does a left side too small to need dealing.
+    the matching right rows are repeated once per share. Rows with a NULL key, which match nothing and which
+    a left join keeps, are dealt likewise. All other keys join as usual, and so does a left side
+    too small to need dealing.
     """
     keys = list(keys)
     if _is_small(left, rows):
         return left.join(right, keys, how)
-    heavy = F.broadcast(heavy_keys(left, keys, rows))
+    heavy = heavy_keys(left, keys, rows)
     shares = F.coalesce(F.col("_shares"), F.lit(1))
+    keyless = reduce(or_, [F.col(key).isNull() for key in keys])
     dealt = (
         left.join(heavy, keys, "left")
-        .withColumn("_share", F.pmod(F.xxhash64(*left.columns), shares).cast("int"))
+        .withColumn(
+            "_share",
+            F.pmod(
+                F.xxhash64(*left.columns), F.when(keyless, _KEYLESS_SHARES).otherwise(shares)
+            ).cast("int"),
+        )
         .drop("_shares")
     )
     repeated = (

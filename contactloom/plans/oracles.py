@@ -114,9 +114,11 @@ guarded AS (
 segmented AS (
   SELECT *, count(*) FILTER (action IN ('enqueue', 'complete', 'fail')) OVER (
            PARTITION BY job_id ORDER BY ts, seq) AS seg
-  FROM guarded WHERE NOT refused),
+  FROM guarded),
 gapped AS (
-  SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY job_id, seg ORDER BY ts, seq)
+  SELECT *, coalesce(ts - last_value(CASE WHEN NOT refused THEN ts END IGNORE NULLS) OVER (
+                       PARTITION BY job_id, seg ORDER BY ts, seq
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
                      >= INTERVAL 24 HOUR, false) AS gap
   FROM segmented),
 judged AS (
@@ -131,7 +133,7 @@ job AS (
          max(ts) AS updated_at,
          NOT bool_or(action IN ('complete', 'fail', 'cancel')) AS active,
          TIMESTAMP '2024-01-31' < max(ts) + INTERVAL 24 HOUR AS visible
-  FROM judged WHERE NOT expired GROUP BY job_id)
+  FROM judged WHERE NOT expired AND NOT refused GROUP BY job_id)
 """
 
 _OUTCOMES = (
@@ -256,7 +258,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, hits,
                      list_sort(list_distinct(list_transform(hits, lambda m: lower(m)))) AS clean
               FROM (SELECT doc_id, regexp_extract_all(text, '{_ADDRESS}') AS hits
-                    FROM documents WHERE contains(text, '@')))""",
+                    FROM documents))""",
     "host_emails": f"""
         WITH {_SITE}, {_BODY},
         found AS (
@@ -394,7 +396,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT job_id || '-x', NULL, 'Job not found' FROM job""",
     "cancel_guard": f"""
         WITH {_JOB_EVENTS}
-        SELECT job_id, seq, refused FROM guarded WHERE action = 'cancel'""",
+        SELECT job_id, seq, refused AND NOT expired AS refused FROM judged WHERE action = 'cancel'""",
     "job_expiry": f"""
         WITH {_JOB_EVENTS} SELECT job_id, seq, action FROM judged WHERE expired""",
     "latest_jobs": f"""

@@ -155,8 +155,7 @@ def dedup_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit(""), F.lit("  ")),
         hits,
     )
-    documents = D.table(spark, sf_dir, "documents").filter(F.col("text").contains("@"))
-    return documents.select(
+    return D.table(spark, sf_dir, "documents").select(
         "doc_id",
         F.array_join(E.dedup_emails(untidy), ",").alias("emails"),
         F.size(E.dedup_emails(untidy, enabled=False)).alias("n_untidy"),

@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="contactloom-")
         context.setCheckpointDir(folder)
@@ -41,7 +41,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of ``df``; exact for stored tables, else generous."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # joins of joins multiply estimates, up to numbers too long to read
+        return 1 << 62
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

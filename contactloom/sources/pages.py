@@ -40,23 +40,28 @@ def latest_pages(
 ) -> DataFrame:
     """One snapshot per page, the one with the highest ``version``.
 
-    Only URLs and versions are shuffled to find the outdated snapshots; the markup is
-    not grouped. As outdated ones are few, dropping them is usually a broadcast.
+    Versions may repeat, within a page and across pages. Of several snapshots of a page with its highest
+    version a hash of the whole row decides. To find the pages with several snapshots only URLs,
+    versions and hashes are shuffled; of the markup only theirs is grouped.
     """
     named = pages.withColumn("url", canonical_url(F.col("url"))).filter(F.col("url").isNotNull())
-    narrow = named.select("url", version)
+    named = named.withColumn("_tie", F.xxhash64(*named.columns))
     repeated = (
-        narrow.groupBy("url")
-        .agg(F.max(version).alias("_newest"), F.count(F.lit(1)).alias("_copies"))
+        named.groupBy("url")
+        .agg(
+            F.max(F.struct(F.col(version).alias("version"), "_tie")).alias("_newest"),
+            F.count(F.lit(1)).alias("_copies"),
+        )
         .filter(F.col("_copies") > 1)
         .select("url", "_newest")
     )
-    outdated = (
-        spread_join(narrow, repeated, ["url"], rows=rows)
-        .filter(F.col(version) < F.col("_newest"))
-        .select(version)
+    single = named.join(repeated.select("url"), "url", "left_anti")
+    newest = (
+        spread_join(named, repeated, ["url"], rows=rows)
+        .filter(F.struct(F.col(version).alias("version"), "_tie").eqNullSafe(F.col("_newest")))
+        .dropDuplicates(["url"])
     )
-    return named.join(outdated, version, "left_anti")
+    return single.unionByName(newest.select(*single.columns)).select(*pages.columns)
 
 
 def pages_of_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:

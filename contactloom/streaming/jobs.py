@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from contactloom.operators.jobs import KEPT_HOURS, STATE_SCHEMA, advance_jobs
+from contactloom.operators.jobs import KEPT_HOURS, STATE_SCHEMA, advance_jobs, late_actions
 from contactloom.operators.skew import ROWS_PER_TASK
 from contactloom.session import stored
 
@@ -34,9 +34,12 @@ def advance_batch(
     """Fold one batch into the state the batch before left, and write both to its folders.
 
     The jobs of a batch are folded like a whole log, with windows that a busy job spans
-    over several tasks. The same batch run again writes the same folders again.
+    over several tasks. The same batch run again writes the same folders again. Actions that come
+    after a newer one of their job was folded are not: they are written to ``late``.
     """
     before = read_state(events.sparkSession, path, batch_id - 1)
+    late = late_actions(before, events, rows)
+    late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
     changed = stored(advance_jobs(before, events, hours, rows))
     changed.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
     state = before.join(changed.select("job_id"), "job_id", "left_anti").unionByName(changed)

@@ -66,6 +66,8 @@ RESOLVED = {
     "/x#%zz": None,
     "/x?%zz y": "https://Ex.com/x?%zz y",
     "///x": "https://Ex.com///x",
+    "https://h/a/..?x=1": "https://h/?x=1",
+    "https://h/a/.#f": "https://h/a/#f",
     "http://ü.de/x": "http://%C3%BC.de/x",
 }
 
@@ -211,6 +213,12 @@ def test_links_and_refresh(spark):
     assert row.body == '1234"<a href=/d>"5'
 
 
+def test_text_after_marks_that_are_no_tags_is_kept():
+    page = "<body>one</é>two <ö>three a@b.com <a href=/k>four"
+    text, links, _ = H.read_page(page)
+    assert "two" in text and "four" in text and links == ["/k"]
+
+
 def test_long_runs_stay_linear(spark):
     text = "a" * 300_000 + " x@y.org"
     assert column(spark, [text], E.extract_emails) == [["x@y.org"]]

@@ -124,17 +124,41 @@ def test_bounds(content, starts):
     assert graph.crawl(starts, edges, max_depth=-1).count() == 0
 
 
-def test_front_shuffles_but_edges_do_not(spark, content, starts):
-    """Within the loop neither the edges nor the state are shuffled again."""
-    with fixed_layout(spark) as parts:
-        edges = graph._laid_out(pages.site_edges(content).select("src", "dst", "cost"), parts)
-        front = checkpointed(
-            starts.select("start", F.col("start").alias("url")).repartition(parts, "start", "url")
-        )
-        joined = front.join(edges.withColumnRenamed("src", "url").hint("merge"), "url")
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("Sort [") == 1
+def shuffled_scans(plan, columns):
+    """How many scans of the given columns have a shuffle between them and their first join."""
+    path, found = [], 0
+    for line in plan.splitlines():
+        text = line.lstrip(" :+-*|")
+        depth = len(line) - len(text)
+        path = [(d, t) for d, t in path if d < depth] + [(depth, text)]
+        if "Scan ExistingRDD" in text and all(f"{c}#" in text for c in columns):
+            for _, above in reversed(path[:-1]):
+                if "Join" in above:
+                    break
+                found += above.startswith("Exchange")
+    return found
+
+
+def test_no_round_shuffles_edges(spark, content, starts):
+    """The plan of a round, with every page of the front busy, and nothing broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with fixed_layout(spark) as parts:
+            edges = graph._laid_out(pages.site_edges(content).select("src", "dst", "cost"), parts)
+            front = checkpointed(
+                starts.select("start", F.col("start").alias("url"), F.lit(0).alias("depth"))
+                .repartition(parts, "start", "url")
+            )
+            plans = [
+                graph._next_steps(front, edges, rows, size)._jdf.queryExecution().executedPlan().toString()
+                for rows, size in ((1, 1_000), (1_000_000, 10))
+            ]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan in plans:
+        assert "Join" in plan
+        assert shuffled_scans(plan, ("src", "dst", "cost")) == 0
 
 
 def walk(start, links, bound):

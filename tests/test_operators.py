@@ -14,6 +14,7 @@ from contactloom.options import ScanOptions
 from contactloom.plans.outcomes import job_outcomes
 from contactloom.session import stored
 from contactloom.sources import messages, requests
+from contactloom.sources.pages import latest_pages
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -49,6 +50,52 @@ def test_spread_join(spark):
         assert sorted(map(tuple, spread.select("k", "id", "v").collect()), key=str) == plain
 
 
+def test_rows_without_a_key_are_dealt(spark):
+    left = spark.range(2_000).select("id", F.when(F.col("id") % 20 == 0, "k").alias("k"))
+    right = spark.createDataFrame([("k", 1), (None, 2)], "k string, v int")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew.spread_join(left, right.hint("merge"), ["k"], "left", rows=10)
+        tasks = joined.filter("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 1_900
+    assert joined.filter("k IS NULL AND v IS NOT NULL").isEmpty()
+
+
+def test_latest_pages_with_repeated_versions(spark):
+    rows = [
+        (1, "https://h/a", "old"), (2, "https://h/a", "new"), (1, "https://h/b", "only"),
+        (3, "https://h/c", "x"), (3, "https://h/c", "y"), (4, "https://h/d", "z"), (4, "https://h/d", "z"),
+    ]
+    table = spark.createDataFrame(rows, "v int, url string, html string")
+    got = latest_pages(table, "v").collect()
+    assert sorted(r.url[-1] for r in got) == ["a", "b", "c", "d"]
+    assert {r.html for r in got if r.url.endswith(("a", "b"))} == {"new", "only"}
+
+
+@pytest.mark.parametrize("value", ['{"emails": 5}', "[1]", '"x"', '{"emails": [1]}', '{"timestamp": "soon"}', '{"crawl_info": {"depth": "x"}}'])
+def test_mistyped_records_are_misses(spark, value):
+    kept = spark.createDataFrame([("k", value)], "key string, value string")
+    assert results.results_from_json(kept).records.isEmpty()
+
+
+def test_cancel_after_a_start_that_found_no_job(spark):
+    actions = log(spark, (0, "enqueue"), (25, "start"), (26, "cancel"))
+    assert [r.refused for r in jobs.cancel_guard(actions).collect()] == [False]
+    assert {r.seq for r in jobs.job_expiry(actions).collect()} == {1, 2}
+    assert {r.error for r in jobs.judged_actions(actions).collect()} == {None, "job not found"}
+
+
+def test_late_actions_are_told(spark):
+    first = log(spark, (0, "enqueue"), (5, "start"))
+    late = log(spark, (4, "complete"), (6, "complete"))
+    state = jobs.advance_jobs(spark.createDataFrame([], jobs.STATE_SCHEMA), first)
+    assert [r.seq for r in jobs.late_actions(state, late).collect()] == [0]
+    assert jobs.advance_jobs(state, late).first().status == "completed"
+
+
 @pytest.mark.parametrize("rows", [1_000_000, 5])
 def test_running_values(spark, rows):
     rng = random.Random(5)
