@@ -60,7 +60,7 @@ def pages_visited(reach: DataFrame, found: DataFrame | None = None) -> DataFrame
     """Number of reached pages per start: ``start, pages_visited, max_depth_reached``.
 
     Given ``found`` (``start, email``), ``pages_visited`` is the number of addresses
-    instead, which is what the service this engine stands in for reports.
+    instead, for readers that expect that number under this name.
     """
     figures = reach.groupBy("start").agg(
         F.count(F.lit(1)).cast("int").alias("pages_visited"),

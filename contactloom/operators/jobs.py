@@ -113,6 +113,7 @@ def judged_actions(
         .result()
         .withColumn(
             "error",
+            # Error texts.
             F.when(F.col("expired"), F.lit("job not found")).when(
                 F.col("guarded"), F.lit("cannot cancel job that is currently processing")
             ),

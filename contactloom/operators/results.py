@@ -136,6 +136,13 @@ def invalidate(results: Results, urls: DataFrame, compat: bool = False) -> Resul
     )
 
 
+def purge_expired(results: Results, as_of: Column, ttl_days: int) -> Results:
+    """Without records whose time to live has run out, and without their addresses."""
+    live = live_records(results.records, as_of, ttl_days)
+    keys = live.select("key").distinct()
+    return Results(live, results.emails.join(keys, "key", "left_semi"))
+
+
 def clear(results: Results) -> Results:
     return Results(results.records.limit(0), results.emails.limit(0))
 

@@ -306,6 +306,30 @@ ORACLES: dict[str, str] = {
                CAST(depth AS INTEGER) AS depth
         FROM reach JOIN named a ON a.host = reach.host AND a.k = reach.start
              JOIN named b ON b.host = reach.host AND b.k = reach.k""",
+    # One try per step: the last of the list is taken off; a page met first within the bound puts its links on.
+    "crawl_exact_reach": f"""
+        {_FIRST} {_EDGES},
+        follow AS (
+          SELECT host, k, list({{'k': dst, 'd': cost}} ORDER BY pos DESC) AS links
+          FROM edge GROUP BY host, k),
+        walk AS (
+          SELECT host, k AS start, [{{'k': k, 'd': 0}}] AS todo, [-1] AS seen, -1 AS k, -1 AS depth
+          FROM first
+          UNION ALL
+          SELECT host, start,
+                 CASE WHEN took THEN list_concat(todo[:-2], list_transform(
+                   coalesce(links, []), lambda x: {{'k': x.k, 'd': x.d + top.d}})) ELSE todo[:-2] END,
+                 CASE WHEN took THEN list_append(seen, top.k) ELSE seen END,
+                 CASE WHEN took THEN top.k ELSE -1 END, top.d
+          FROM (SELECT w.host, w.start, w.todo, w.seen, w.todo[-1] AS top, f.links,
+                       w.todo[-1].d <= 3 AND NOT list_contains(w.seen, w.todo[-1].k) AS took
+                FROM walk w LEFT JOIN follow f ON f.host = w.host AND f.k = w.todo[-1].k
+                WHERE len(w.todo) > 0) t)
+        SELECT {_URL.format(p="a")} AS start, {_URL.format(p="b")} AS url,
+               CAST(depth AS INTEGER) AS depth
+        FROM walk JOIN named a ON a.host = walk.host AND a.k = walk.start
+             JOIN named b ON b.host = walk.host AND b.k = walk.k
+        WHERE walk.k >= 0""",
     "crawl_emails": f"""
         {_FIRST} {_REACH}
         SELECT {_URL.format(p="named")} AS start, email
@@ -379,6 +403,11 @@ ORACLES: dict[str, str] = {
         SELECT key, scan_id, {_TIME.format(c="cached_at")} AS cached_at, depth, pages_visited,
                n_emails, emails
         FROM full_result WHERE k % 2 <> 0""",
+    "cache_purge": f"""
+        WITH {_RESULTS}
+        SELECT key, scan_id, {_TIME.format(c="cached_at")} AS cached_at, depth, pages_visited,
+               n_emails, emails
+        FROM full_result WHERE live""",
     "cache_clear": f"WITH {_RESULTS} SELECT key, scan_id FROM full_result WHERE false",
     "cache_stats": f"""
         WITH {_RESULTS}

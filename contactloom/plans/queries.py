@@ -376,6 +376,13 @@ def cache_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_rows(results.invalidate(_results(spark, sf_dir), urls))
 
 
+@query
+def cache_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without what has expired."""
+    kept = results.purge_expired(_results(spark, sf_dir), D.as_of(), OPTIONS.ttl_days)
+    return _result_rows(kept)
+
+
 @query
 def cache_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleared = results.clear(_results(spark, sf_dir))

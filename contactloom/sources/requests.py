@@ -19,6 +19,7 @@ def validate_seeds(seeds: DataFrame) -> DataFrame:
     target = default_scheme(F.col("url"))
     return seeds.withColumns(
         {
+            # Error texts.
             "target": F.when(~_missing(F.col("url")), target),
             "error": F.when(_missing(F.col("url")), F.lit("Missing 'url' parameter")).when(
                 ~is_parseable(target), F.lit("Invalid URL provided")
