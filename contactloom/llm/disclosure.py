@@ -141,7 +141,7 @@ def revealing_terms(
 
     A term beside an entity discloses the share ``PMI(term, entity) / -log p(entity)`` of it, from counts over all
     documents; 1 if the term never stands anywhere else. Pairs are counted from those found beside entities;
-    the documents of a term only for terms of pairs with enough contexts.
+    the documents of terms by partial counts in each task.
     """
     pairs = (
         found.select(F.explode("beside").alias("b"))
@@ -152,34 +152,46 @@ def revealing_terms(
         .agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts"))
         .filter(F.col("contexts") >= least_contexts)
     )
-    pairs = stored(pairs)
-    terms = small(stored(pairs.select("term").distinct()))
-    holders = stored(
-        docs.select(*text_key(F.col("text")), F.explode(_terms_of(F.col("text"))).alias("term")).join(
-            terms, "term", "left_semi"
-        )
-    )
-    of_term = holders.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     of_entity = (
         found.select(F.explode("beside").alias("b"))
         .groupBy("b.entity")
         .agg(F.count(F.lit(1)).alias("n_entity"))
     )
     n = found.count()
-    information = F.log(n / F.col("n_entity"))
-    share = F.log(F.col("n_pair") * n / (F.col("n_term") * F.col("n_entity"))) / information
-    revealing = (
+
+    def share(n_term: Column) -> Column:
+        """What a term of so many documents discloses."""
+        found_by = F.col("n_pair") * n / (n_term * F.col("n_entity"))
+        return F.least(F.log(found_by) / F.log(n / F.col("n_entity")), F.lit(1.0))
+
+    # A term has at least the documents in which it stands beside an entity, any entity. That bounds
+    # what it can disclose and leaves few pairs.
+    of_beside = (
+        found.filter(F.size("beside") > 0)
+        .select(F.explode(F.array_distinct(F.flatten("beside.terms"))).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n_beside"))
+    )
+    pairs = stored(
         pairs.join(of_entity, "entity")
         .filter(F.col("n_entity") < n)
-        .join(of_term, "term")
-        .withColumn("share", F.least(share, F.lit(1.0)))
+        .join(of_beside, "term")
+        .filter(share(F.col("n_beside")) >= least_disclosure)
+    )
+    held = docs.select(
+        *text_key(F.col("text")), F.explode(_terms_of(F.col("text"))).alias("term")
+    )
+    of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    revealing = (
+        pairs.join(of_term, "term")
+        .withColumn("share", share(F.col("n_term")))
         .filter(F.col("share") >= least_disclosure)
         .groupBy("term")
         .agg(F.max("share").alias("share"))
     )
     revealing = small(stored(revealing))
     return (
-        holders.join(revealing, "term")
+        held.join(revealing, "term")
         .distinct()
         .groupBy("text_a", "text_b")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
