@@ -20,8 +20,8 @@ from contactloom.llm import language, lines, minhash, mixing, pieces  # noqa: E4
 from contactloom.llm.tables import text_key  # noqa: E402
 from contactloom.session import shared_dir, stored  # noqa: E402
 
-# A language is taken as known from this score on.
-LEAST_SCORE = 0.5
+# A language is taken as known from this score on. Short texts and texts in two languages score from 0.4 on.
+LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
