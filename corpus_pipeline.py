@@ -22,6 +22,10 @@ from contactloom.session import shared_dir, stored  # noqa: E402
 
 # A language is taken as known from this score on. Short texts and texts in two languages score from 0.4 on.
 LEAST_SCORE = 0.3
+# Least share of common word shingles of near copies, in hundredths; op10 itself asks for 85.
+NEAR_PERCENT = 80
+# A pair at that share misses all bands once in 80,000 times.
+NEAR_BANDS, NEAR_ROWS = 48, 7
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +56,11 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id.
 
+    Near duplicates have ``NEAR_PERCENT`` hundredths of their five-word shingles in common, fewer than ``op10`` asks for,
+    so the banding is one of this stage.
     Rows that repeat an id and a text are one document and stay together.
     """
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS)
     kept = stored(
         found.filter("kept")
         .select(F.col("doc_id").alias("_id"), F.col("text_a").alias("_a"), F.col("text_b").alias("_b"))

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
@@ -341,6 +342,24 @@ def test_families_just_below_and_above_the_threshold(spark):
     assert got == _plain_groups(texts)
 
 
+def test_pipeline_keeps_one_of_each_group_at_its_own_threshold(spark, sf_dir):
+    """Pairs from below 0.80 to above 0.85; the stage keeps what all pairs at 0.80 keep."""
+    draw = random.Random(18)
+    texts = {}
+    for i in range(200):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(204)]
+        texts[2 * i] = " ".join(words)
+        # Each changed word, far from the others, changes five of 200 shingles.
+        for k in range(2 + i % 4):
+            words[20 + 30 * k] = f"n{draw.randrange(10**6)}"
+        texts[2 * i + 1] = " ".join(words)
+    want = {i for i, (_, group) in _plain_groups(texts, percent=corpus_pipeline.NEAR_PERCENT).items() if i == group}
+    above = {i for i, (_, group) in _plain_groups(texts).items() if i == group}
+    assert corpus_pipeline.NEAR_PERCENT == 80 and len(want) < len(above) < len(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, sf_dir).collect()} == want
+
+
 def test_estimate_is_near_the_similarity(spark):
     draw = random.Random(9)
     rows = []
