@@ -21,6 +21,10 @@ LEAF = 2_000
 # Share of a node's rows, around the split, that go to both sides.
 SPILL = 0.1
 SEED = 20240131
+# A label's sample for its dense places holds so many rows of a leaf; a place of half as many is dense.
+DENSE_SAMPLE = 32
+# Rows of a block that is compared with another, in leaves.
+BLOCK_LEAVES = 4
 # Levels of splits; far more than any table needs.
 MOST_LEVELS = 60
 
@@ -169,6 +173,179 @@ def _compare(least: float):
     return run
 
 
+def _united(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Least row of each group after the rows ``u`` are linked to ``v``."""
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            return root
+        low = np.minimum(a, b)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _compare_blocks(least: float):
+    """Links of a block of inner rows with a block of a place's rows.
+
+    Inner rows count all their links; other rows those with inner rows. Of the links of a slab
+    only those that unite groups are looked at one by one, so memory is bounded by the blocks.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("class", kind="stable")
+        names, place = np.unique(frame["class"].to_numpy(), return_inverse=True)
+        x = np.stack([np.frombuffer(u) for u in frame["unit"]])
+        copies = frame["copies"].to_numpy(np.float64)
+        left = frame["left"].to_numpy(bool)
+        inner, other = np.flatnonzero(left), np.flatnonzero(~left)
+        outside = ~frame["inner"].to_numpy(bool)[other]
+        links, root = np.zeros(len(names)), np.arange(len(names))
+        at = place[other]
+        for a in range(0, len(inner), 256):
+            own = inner[a : a + 256]
+            near = x[own] @ x[other].T >= least
+            near &= place[own][:, None] != at
+            links[place[own]] += near @ copies[other]
+            links[at[outside]] += copies[own] @ near[:, outside]
+            while len(at):
+                apart = near & (root[place[own]][:, None] != root[at])
+                rows, columns = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+                if not len(rows):
+                    break
+                u = np.concatenate([own[rows], own[apart[:, columns].argmax(0)]])
+                v = np.concatenate([other[apart[rows].argmax(1)], other[columns]])
+                root = _united(root, place[u], place[v])
+        out = pd.DataFrame({"class": names, "links": links.astype(np.int64), "head": names[root]})
+        return out[(out["links"] > 0) | (out["class"] != out["head"])]
+
+    return run
+
+
+def _linked(rows: DataFrame, least: float, block: int) -> DataFrame:
+    """Exact links ``class, links, head`` of the inner rows of places: ``place, class, unit, copies, inner, here``.
+
+    All rows of a place are compared with those that are inner ``here``, in pairs of blocks that are dealt over tasks.
+    ``inner`` tells whether a row is an inner one of any place, which then counts its links.
+    """
+    sizes = rows.groupBy("place").agg(
+        F.ceil(F.count(F.lit(1)) / block).alias("_all"), F.ceil(F.count_if("here") / block).alias("_own")
+    )
+    dealt = rows.join(sizes.filter("_own > 0"), "place")
+    number = F.xxhash64("class")
+    plain = [F.col(c) for c in ("place", "class", "unit", "copies", "inner")]
+
+    def side(left: bool) -> DataFrame:
+        own, across = ("_own", "_all") if left else ("_all", "_own")
+        given = dealt.filter("here") if left else dealt
+        mine = F.pmod(number, F.col(own))
+        given = given.withColumn("_k", F.explode(F.sequence(F.lit(0), (F.col(across) - 1).cast("int"))))
+        pair = (mine, F.col("_k")) if left else (F.col("_k"), mine)
+        return given.select(*plain, F.lit(left).alias("left"), *[c.cast("long").alias(n) for c, n in zip(pair, "ij", strict=True)])
+
+    both = side(True).unionByName(side(False))
+    return both.groupBy("place", "i", "j").applyInPandas(_compare_blocks(least), "class string, links long, head string")
+
+
+def _centres(least: float):
+    """Rows of one label such that each row is linked to one of them, those of most links first."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["links", "class"], ascending=[False, True], kind="stable")
+        x = np.stack([np.frombuffer(u) for u in frame["unit"]])
+        met, picked = np.zeros(len(x), bool), []
+        for i in range(len(x)):
+            if not met[i]:
+                picked.append(i)
+                met |= x @ x[i] >= least
+        return frame[["space", "class", "unit"]].iloc[picked]
+
+    return run
+
+
+def _around(centres: dict[str, tuple[list[str], np.ndarray]], least: float):
+    """The centre a row is linked to, the nearest, and all centres whose links it may share."""
+    # Rows linked to a row that is linked to the centre are within twice the angle.
+    reach = 2 * least * least - 1 - 1e-9 if least > 0 else -2.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spaces, units = batch.column("space").to_pylist(), batch.column("unit").to_pylist()
+            held: dict[str, list[int]] = {}
+            for i, space in enumerate(spaces):
+                held.setdefault(space, []).append(i)
+            core: list[str | None] = [None] * len(spaces)
+            near: list[list[str]] = [[] for _ in spaces]
+            for space, rows in held.items():
+                if space not in centres:
+                    continue
+                names, x = centres[space]
+                for a in range(0, len(rows), 512):
+                    part = rows[a : a + 512]
+                    cosine = np.stack([np.frombuffer(units[i]) for i in part]) @ x.T
+                    best = cosine.argmax(1)
+                    for k, i in enumerate(part):
+                        if cosine[k, best[k]] >= least:
+                            core[i] = names[best[k]]
+                        near[i] = [names[c] for c in np.flatnonzero(cosine[k] >= reach)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in ("class", "space", "label", "unit", "copies")],
+                    pa.array(core, pa.string()),
+                    pa.array(near, pa.list_(pa.string())),
+                ],
+                names=["class", "space", "label", "unit", "copies", "core", "near"],
+            )
+
+    return run
+
+
+def _without_dense(rows: DataFrame, least: float, leaf: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows that are left for the trees, and all links of the rows that are not: ``class, links, head``.
+
+    Trees part groups of more than a leaf of near vectors at every level. So rows with about half a leaf of links or more,
+    as told by a sample of their label, are centres; all rows linked to a centre are compared exactly
+    with all rows that can be linked to them (those within twice the angle). Rounds go on until no sample of
+    what is left holds such a row.
+    """
+    kind = rows.schema["label"].dataType.simpleString()
+    rate, found, turn = min(1.0, DENSE_SAMPLE / leaf), [], 0
+    while True:
+        large = stored(rows.groupBy("space").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > leaf).select("space"))
+        if large.isEmpty():
+            return rows, found
+        drawn = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1_000_000)) < round(rate * 1_000_000)
+        sample = stored(rows.filter(drawn).join(large, "space", "left_semi").select("space", "class", "unit"))
+        yes = F.lit(True)
+        asked = sample.select(F.col("space").alias("place"), "class", "unit", F.lit(1).alias("copies"), yes.alias("inner"), yes.alias("here"))
+        degrees = _linked(asked, least, BLOCK_LEAVES * leaf).groupBy("class").agg(F.sum("links").alias("links"))
+        dense = sample.join(degrees.filter(F.col("links") >= max(1, rate * leaf / 2)), "class")
+        picked = dense.groupBy("space").applyInPandas(_centres(least), "space string, class string, unit binary").collect()
+        if not picked:
+            return rows, found
+        centres: dict[str, tuple[list[str], list[np.ndarray]]] = {}
+        for r in picked:
+            names, units = centres.setdefault(r["space"], ([], []))
+            names.append(r["class"])
+            units.append(np.frombuffer(bytes(r["unit"])))
+        known = {space: (names, np.stack(units)) for space, (names, units) in centres.items()}
+        placed = rows.select("class", "space", "label", "unit", "copies").mapInArrow(
+            _around(known, least),
+            f"class string, space string, label {kind}, unit binary, copies long, core string, near array<string>",
+        )
+        placed = stored(placed)
+        around = placed.select(
+            F.explode("near").alias("place"), "class", "unit", "copies", "core"
+        ).select(
+            "place", "class", "unit", "copies",
+            F.col("core").isNotNull().alias("inner"),
+            F.col("core").eqNullSafe(F.col("place")).alias("here"),
+        )
+        found.append(stored(_linked(around, least, BLOCK_LEAVES * leaf)))
+        rows, turn = stored(placed.filter("core IS NULL").drop("core", "near")), turn + 1
+
+
 def near_vectors(
     vectors: DataFrame,
     least: float = LEAST_COSINE,
@@ -178,7 +355,8 @@ def near_vectors(
 ) -> DataFrame:
     """Near-duplicate vectors of one label: ``vec_id, n_links, component_id, kept``.
 
-    Equal directions of a label are one class with a number of copies. Each tree splits the
+    Equal directions of a label are one class with a number of copies. Classes in dense places, with
+    half a leaf of links or more, are compared exactly (``_without_dense``). Each tree splits the other
     classes of a label (the node ``tree/label``) until leaves are small; within leaves all cosines are
     computed in double precision by one matrix product. A link found in several trees counts in the
     first leaf that holds both, so counts need no table of pairs: a leaf gives a row per
@@ -212,7 +390,9 @@ def near_vectors(
             F.min("vec_id").alias("least_id"),
         )
     )
-    roots = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(
+    spaces = classes.withColumn("space", F.concat_ws("/", F.col("label").cast("string"), F.length("unit")))
+    left, dense = _without_dense(spaces, least, leaf)
+    roots = left.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(
         "class", F.concat_ws("/", "tree", "label", F.lit("")).alias("node"), "unit"
     )
     grown = stored(_grow(roots, leaf, spill))
@@ -223,6 +403,8 @@ def near_vectors(
         .groupBy("node")
         .applyInPandas(_compare(least), "class string, links long, head string")
     )
+    for part in dense:
+        found = found.unionByName(part)
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("head").alias("u"), F.col("class").alias("v")))
     joined = (

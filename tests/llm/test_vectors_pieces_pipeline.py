@@ -44,6 +44,26 @@ def test_forest_recall_and_counts(spark):
     assert {i: (r.n_links, r.component_id) for i, r in whole.items()} == {i: (links[i], root[i]) for i in root}
 
 
+def test_groups_of_many_leaves_keep_all_links(spark):
+    """A cluster of twenty leaves, one of which only near vectors link, beside others of the label."""
+    draw = np.random.default_rng(4)
+    a, b = draw.standard_normal((2, 32))
+    x = np.concatenate(
+        [a + 0.2 * draw.standard_normal((2_000, 32)), b + 0.28 * draw.standard_normal((600, 32)), draw.standard_normal((400, 32))]
+    )
+    x[7] = x[8]
+    labels = np.where(np.arange(len(x)) % 50 == 0, 1, 0)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(int(i), x[i].tolist(), int(labels[i])) for i in draw.permutation(len(x))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, root = _plain_links(list(range(len(x))), labels, unit)
+    got = {r.vec_id: r for r in vectors.near_vectors(table, leaf=100).collect()}
+    assert all(r.n_links <= links[i] for i, r in got.items())
+    assert all(got[i].n_links == links[i] for i in range(2_000) if labels[i] == 0)
+    assert all(got[i].component_id == root[i] for i in range(2_000) if labels[i] == 0)
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(links.values())
+
+
 def _paths(vocabulary, text):
     known = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.scores[i] is not None}
     text, out = "▁" + text.replace(" ", "▁"), []
