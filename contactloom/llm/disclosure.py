@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,8 +15,8 @@ from contactloom.session import stored
 KINDS = ("email", "ip", "card", "phone")
 # Words on either side of a protected entity that count as beside it, and their least length.
 REACH, LEAST_LETTERS = 8, 3
-# A term must stand beside an entity in so many different contexts (copies of a text are one) ...
-LEAST_CONTEXTS = 3
+# Counts must speak against chance by so much (log-likelihood ratio, one in a thousand by chance) ...
+LEAST_SUPPORT = 10.83
 # ... and give away this share of the entity's information; above the second share it is removed.
 LEAST_DISCLOSURE, REMOVE_FROM = 0.8, 0.95
 
@@ -98,23 +97,17 @@ def _beside(text: str, spans: list[tuple[str, int, int]]) -> dict[str, set[str]]
     return out
 
 
-_FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, beside array<struct<entity:string,context:string,terms:array<string>>>"
+_FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, beside array<struct<entity:string,terms:array<string>>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    beside_type = pa.list_(
-        pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(pa.string()))])
-    )
+    beside_type = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
     for batch in batches:
         spans = [base_spans(t or "") for t in batch.column("text").to_pylist()]
         beside = []
         for text, own in zip(batch.column("text").to_pylist(), spans, strict=True):
-            found = []
-            for entity, terms in _beside(text, own).items() if own else ():
-                listed = sorted(terms)
-                context = hashlib.blake2b(" ".join(listed).encode(), digest_size=8).hexdigest()
-                found.append({"entity": entity, "context": context, "terms": listed})
-            beside.append(found)
+            found = _beside(text, own) if own else {}
+            beside.append([{"entity": entity, "terms": sorted(terms)} for entity, terms in found.items()])
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(c) for c in ("doc_id", "text_a", "text_b")],
@@ -131,26 +124,35 @@ def _terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= LEAST_LETTERS))
 
 
+def _support(both: Column, term: Column, entity: Column, n: int) -> Column:
+    """Log-likelihood ratio of documents with both against chance, from those with either and all ``n``."""
+
+    def part(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    cells = (both, term - both, entity - both, n - term - entity + both)
+    sides = (term, n - term, entity, n - entity)
+    return 2 * (sum(map(part, cells), part(F.lit(n))) - sum(map(part, sides), F.lit(0.0)))
+
+
 def revealing_terms(
     docs: DataFrame,
     found: DataFrame,
-    least_contexts: int = LEAST_CONTEXTS,
+    least_support: float = LEAST_SUPPORT,
     least_disclosure: float = LEAST_DISCLOSURE,
 ) -> DataFrame:
     """``text_a, text_b, terms``: the revealing terms each text holds, with the share they disclose.
 
     A term beside an entity discloses the share ``PMI(term, entity) / -log p(entity)`` of it, from counts over all
-    documents; 1 if the term never stands anywhere else. Pairs are counted from those found beside entities;
+    documents; 1 if the term never stands anywhere else. One document can be enough: what counts is that the numbers of
+    documents, all together, are not chance (``_support``). Pairs are counted from those found beside entities;
     the documents of terms by partial counts in each task.
     """
     pairs = (
         found.select(F.explode("beside").alias("b"))
-        .select("b.entity", "b.context", F.explode("b.terms").alias("term"))
-        .groupBy("entity", "term", "context")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select("b.entity", F.explode("b.terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts"))
-        .filter(F.col("contexts") >= least_contexts)
+        .agg(F.count(F.lit(1)).alias("n_pair"))
     )
     of_entity = (
         found.select(F.explode("beside").alias("b"))
@@ -186,6 +188,7 @@ def revealing_terms(
         pairs.join(of_term, "term")
         .withColumn("share", share(F.col("n_term")))
         .filter(F.col("share") >= least_disclosure)
+        .filter(_support(F.col("n_pair"), F.greatest("n_term", "n_pair"), F.col("n_entity"), n) >= least_support)
         .groupBy("term")
         .agg(F.max("share").alias("share"))
     )
@@ -226,7 +229,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def personal_spans(
     docs: DataFrame,
-    least_contexts: int = LEAST_CONTEXTS,
+    least_support: float = LEAST_SUPPORT,
     least_disclosure: float = LEAST_DISCLOSURE,
 ) -> DataFrame:
     """Personal data of whole texts.
@@ -241,7 +244,7 @@ def personal_spans(
     given = docs.select("doc_id", *text_key(F.col("text")), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = stored(given.mapInArrow(_find, f"doc_id {kind}, text_a long, text_b int, {_FOUND}"))
-    revealed = small(stored(revealing_terms(docs, found, least_contexts, least_disclosure)))
+    revealed = small(stored(revealing_terms(docs, found, least_support, least_disclosure)))
     texts = docs.select(*text_key(F.col("text")), "text").join(revealed, ["text_a", "text_b"])
     located = texts.mapInArrow(_locate, "_a long, _b int, term_spans string, n_term long")
     located = located.dropDuplicates(["_a", "_b"])

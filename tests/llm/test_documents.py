@@ -259,6 +259,15 @@ def test_terms_that_reveal_an_entity(spark):
     assert text[100] == rows[8][1]
 
 
+def test_one_document_can_reveal_an_entity(spark):
+    rows = [(0, "please ask Quillon today at boss@corp.example.com thanks")]
+    rows += [(1 + i, "please ask today thanks for all") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in disclosure.personal_spans(docs).collect()}
+    assert got[0].spans == "email:28:49,term:11:18" and got[0].n_term == 1
+    assert all(got[i].n_term == 0 for i in range(1, 301))
+
+
 def test_language_of_held_out_documents(documents):
     got = language.identify(documents, language.train(documents)).join(documents, "doc_id").toPandas()
     fold = [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
