@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactloom.llm import disclosure, edits, language, licenses, lines, minhash, mixing, pieces, toxicity, vectors
+from contactloom.llm import disclosure, edits, exact, language, licenses, lines, minhash, mixing, pieces, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_sample_pieces": pieces.op9_sample_pieces,
     "op10_minhash": minhash.op10_minhash,
+    "op11_exact_dedup": exact.op11_exact_dedup,
 }
 
 ORACLES = {
     "op1_line_dedup": lines.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op8_license_scan": licenses.ORACLE,
+    "op11_exact_dedup": exact.ORACLE,
 }
