@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactloom.llm import disclosure, edits, exact, language, licenses, lines, minhash, mixing, pieces, toxicity, vectors
+from contactloom.llm import disclosure, edits, exact, manifest, language, licenses, lines, minhash, mixing, pieces, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sample_pieces": pieces.op9_sample_pieces,
     "op10_minhash": minhash.op10_minhash,
     "op11_exact_dedup": exact.op11_exact_dedup,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
 ORACLES = {
