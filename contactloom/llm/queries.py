@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactloom.llm import disclosure, edits, exact, manifest, language, licenses, lines, minhash, mixing, pieces, toxicity, vectors
+from contactloom.llm import disclosure, edits, exact, manifest, runs, language, licenses, lines, minhash, mixing, pieces, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash": minhash.op10_minhash,
     "op11_exact_dedup": exact.op11_exact_dedup,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLES = {
