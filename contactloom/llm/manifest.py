@@ -120,6 +120,8 @@ def _down(links: DataFrame, tops: DataFrame) -> DataFrame:
     Paths go down from parents to their ARITY children, one level at a time.
     """
     height = tops.agg(F.max("level")).first()[0]
+    if height is None:  # no rows
+        return tops.select("_g", "_pos", "path", "_h")
     above = None
     for level in range(height, -1, -1):
         here = tops.filter(F.col("level") == level).select("_g", "_pos", "path", "_h")
