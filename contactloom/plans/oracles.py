@@ -507,3 +507,6 @@ ORACLES: dict[str, str] = {
                     WHERE mail.host = request.host) ELSE 0 END AS INTEGER) AS n_emails
         FROM request WHERE kind IN (0, 6)""",
 }
+
+# The keyed stream keeps the same job state as the stream that rewrites it whole.
+ORACLES["stream_job_keyed"] = ORACLES["stream_job_state"]

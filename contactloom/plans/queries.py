@@ -23,6 +23,7 @@ from contactloom.sources import messages, requests
 from contactloom.sources.pages import latest_pages, with_status
 from contactloom.streaming import contacts
 from contactloom.streaming import jobs as live_jobs
+from contactloom.streaming import keyed
 from contactloom.streaming import scan as live_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,6 +610,37 @@ def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("job_id", "status", *[_micros(ts) for ts in times], "active")
 
 
+@query
+def stream_job_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last state of every job, kept in a keyed state store that each batch touches only
+    where it has actions."""
+    folder = _folder(spark)
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        return keyed.stream_keyed_jobs(source, folder, expire=False)
+
+    _in_parts(_events(spark, sf_dir), "ts", f"{folder}/in", start)
+    changes = spark.read.schema(keyed.OUTPUT).parquet(f"{folder}/out")
+    times = ("created_at", "started_at", "completed_at", "updated_at")
+    return keyed.latest_states(changes).select("job_id", "status", *times, "active")
+
+
+@query
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that ended and were forgotten by their timer once the watermark passed the end
+    of their record, with the state they had."""
+    folder = _folder(spark)
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        return keyed.stream_keyed_jobs(source, folder, expire=True)
+
+    _in_parts(_events(spark, sf_dir), "ts", f"{folder}/in", start)
+    changes = spark.read.schema(keyed.OUTPUT).parquet(f"{folder}/out")
+    return changes.filter(F.col("kind") == "expired").select(
+        "job_id", "status", "completed_at", "updated_at", "seen_at"
+    )
+
+
 @query
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of all requests, served batch by batch; later batches find earlier results."""
