@@ -510,3 +510,5 @@ ORACLES: dict[str, str] = {
 
 # The keyed stream keeps the same job state as the stream that rewrites it whole.
 ORACLES["stream_job_keyed"] = ORACLES["stream_job_state"]
+# Records upserted part by part end as the whole log folded at once.
+ORACLES["jobs_upsert"] = ORACLES["stream_job_state"]

@@ -14,6 +14,7 @@ from contactloom.functions import urls as U
 from contactloom.functions.records import expires_at, to_record
 from contactloom.operators import addresses, delivery, graph, jobs, pages, results
 from contactloom.operators.skew import spread_join
+from contactloom.operators.store import KeyedStore
 from contactloom.options import ScanOptions
 from contactloom.plans import derived as D
 from contactloom.plans.outcomes import complete_from_results, job_outcomes
@@ -641,6 +642,22 @@ def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def jobs_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job records kept in a keyed store: the log is folded in three parts, and each part
+    commits only the jobs it changed, upserted by ``job_id``."""
+    events = _events(spark, sf_dir)
+    store = KeyedStore(spark, _folder(spark), ["job_id"], ["seen_at"])
+    place = F.col("ts").cast("double")
+    low, high = events.agg(F.percentile_approx(place, [0.34, 0.67])).first()[0]
+    state = spark.createDataFrame([], jobs.STATE_SCHEMA)
+    for part in (place <= low, (place > low) & (place <= high), place > high):
+        store.commit(jobs.advance_jobs(state, events.filter(part)))
+        state = store.read()
+    times = ("created_at", "started_at", "completed_at", "updated_at")
+    return state.select("job_id", "status", *[_micros(ts) for ts in times], "active")
+
+
 @query
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of all requests, served batch by batch; later batches find earlier results."""
