@@ -46,6 +46,26 @@ def write_results(results: Results, path: str) -> None:
     results.emails.write.parquet(f"{path}/emails")
 
 
+def publish_results(results: Results, path: str) -> int:
+    """Publish records and addresses as one version of ``path``; returns the version.
+
+    Readers of ``read_published`` see both tables of a version or neither.
+    """
+    from contactloom.operators.store import Published
+
+    return Published(results.records.sparkSession, path).publish(
+        {"records": results.records, "emails": results.emails}
+    )
+
+
+def read_published(spark: SparkSession, path: str, version: int | None = None) -> Results:
+    """The newest (or the given) published version of ``path``."""
+    from contactloom.operators.store import Published
+
+    tables = Published(spark, path).read(version)
+    return Results(tables["records"], tables["emails"])
+
+
 def results_from_json(kept: DataFrame) -> Results:
     """Results kept as ``key, value`` with JSON values; an unreadable value is a miss."""
     record = from_record(F.col("value"))

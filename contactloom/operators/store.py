@@ -164,3 +164,34 @@ class KeyedStore:
         segment, buckets = self._segment(latest.withColumn("_deleted", F.lit(False)), version)
         self._publish({"version": version, "schema": before["schema"], "segments": [{"id": segment, "buckets": buckets}]})
         return version
+
+
+class Published:
+    """Tables that change together, published as one version.
+
+    Each version writes its tables under ``versions/<id>/<name>`` and then a manifest that
+    names them; readers take the newest manifest. A writer that stops between the tables,
+    or before the manifest, leaves the version before whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = KeyedStore(spark, path, [], [])
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def publish(self, tables: dict[str, DataFrame]) -> int:
+        version = (self.store.versions() or [0])[-1] + 1
+        folder = f"{self.path}/versions/{version}-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}")
+        schemas = {name: df.schema.json() for name, df in tables.items()}
+        self.store._publish({"version": version, "folder": folder, "schemas": schemas})
+        return version
+
+    def read(self, version: int | None = None) -> dict[str, DataFrame]:
+        manifest = self.store.manifest(version)
+        if "folder" not in manifest:
+            raise FileNotFoundError(f"nothing published in {self.path}")
+        return {
+            name: self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{manifest['folder']}/{name}")
+            for name, schema in manifest["schemas"].items()
+        }

@@ -512,3 +512,5 @@ ORACLES: dict[str, str] = {
 ORACLES["stream_job_keyed"] = ORACLES["stream_job_state"]
 # Records upserted part by part end as the whole log folded at once.
 ORACLES["jobs_upsert"] = ORACLES["stream_job_state"]
+# Published results are the upserted ones.
+ORACLES["cache_publish"] = ORACLES["cache_upsert"]

@@ -351,6 +351,16 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_rows(results.upsert_results(_results(spark, sf_dir), new))
 
 
+@query
+def cache_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upserted results published as one version next to the given ones, read back."""
+    folder = _folder(spark)
+    results.publish_results(_results(spark, sf_dir), folder)
+    new = results.Results(*map(stored, D.rewritten(_pages(spark, sf_dir))))
+    results.publish_results(results.upsert_results(results.read_published(spark, folder), new), folder)
+    return _result_rows(results.read_published(spark, folder))
+
+
 @query
 def cache_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results kept as JSON values, some of them unreadable."""
