@@ -34,13 +34,26 @@ def _fs(spark: SparkSession, path: str):
 
 
 class KeyedStore:
-    """Rows keyed by ``key`` columns; ``order`` columns decide between rows of one key in one commit."""
+    """Rows keyed by ``key`` columns; ``order`` columns decide between rows of one key in one commit.
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], buckets: int = BUCKETS):
+    Rows are dealt to buckets by ``bucket_by`` (default the key), columns that are equal for
+    all rows of a key, such as the host of a page's URL.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        key: list[str],
+        order: list[str],
+        buckets: int = BUCKETS,
+        bucket_by: list[str] | None = None,
+    ):
         self.spark, self.path, self.key, self.order, self.buckets = spark, path.rstrip("/"), key, order, buckets
+        self.bucket_by = bucket_by or key
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
     # --- manifests
 
@@ -107,7 +120,7 @@ class KeyedStore:
             parts.append(self._latest_per_key(upserts).withColumn("_deleted", F.lit(False)))
         if deletes is not None:
             schema = upserts.schema if upserts is not None else self._schema(before)
-            gone = deletes.select(*self.key).distinct().withColumn("_deleted", F.lit(True))
+            gone = deletes.select(*dict.fromkeys(self.key + self.bucket_by)).distinct().withColumn("_deleted", F.lit(True))
             for field in schema.fields:
                 if field.name not in self.key and field.name not in gone.columns:
                     gone = gone.withColumn(field.name, F.lit(None).cast(field.dataType))
@@ -132,7 +145,8 @@ class KeyedStore:
 
     def read(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
         """The rows of ``version`` (default the latest): per key the row of the newest
-        commit, deleted keys left out. With ``keys`` only their buckets are read."""
+        commit, deleted keys left out. With ``keys`` (the ``bucket_by`` columns) only rows
+        with those values are returned, and only their buckets are read."""
         manifest = self.manifest(version)
         if not manifest["segments"]:
             raise FileNotFoundError(f"no version of {self.path}")
@@ -153,7 +167,7 @@ class KeyedStore:
         )
         out = merged.filter(~F.col("_deleted")).drop("_deleted", "_version")
         if keys is not None:
-            out = out.join(keys.select(*self.key).distinct(), self.key, "left_semi")
+            out = out.join(keys.select(*self.bucket_by).distinct(), self.bucket_by, "left_semi")
         return out
 
     def compact(self) -> int:

@@ -514,3 +514,5 @@ ORACLES["stream_job_keyed"] = ORACLES["stream_job_state"]
 ORACLES["jobs_upsert"] = ORACLES["stream_job_state"]
 # Published results are the upserted ones.
 ORACLES["cache_publish"] = ORACLES["cache_upsert"]
+# A scan over stored parsed pages answers as one that parses them.
+ORACLES["scan_stored"] = ORACLES["scan_batch"]

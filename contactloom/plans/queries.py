@@ -14,6 +14,7 @@ from contactloom.functions import urls as U
 from contactloom.functions.records import expires_at, to_record
 from contactloom.operators import addresses, delivery, graph, jobs, pages, results
 from contactloom.operators.skew import spread_join
+from contactloom.operators.parsed import ParsedSites
 from contactloom.operators.store import KeyedStore
 from contactloom.options import ScanOptions
 from contactloom.plans import derived as D
@@ -278,6 +279,29 @@ def scan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def scan_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan_batch`` over a store of parsed pages that was filled in two parts, the second
+    parsing only the snapshots the first did not hold."""
+    given = _pages(spark, sf_dir)
+    site = stored(D.site_pages(given).select("page_id", "url", "status", "html"))
+    parsed = ParsedSites(spark, _folder(spark))
+    middle = site.agg(F.percentile_approx("page_id", 0.5)).first()[0]
+    parsed.update(site.filter(F.col("page_id") <= middle))
+    parsed.update(site)
+    done = scan(stored(D.scan_seeds(given)), site, _results(spark, sf_dir), D.as_of(), OPTIONS, parsed=parsed)
+    answers = done.responses.join(_joined_lists(done.answers), ["key", "scan_id"], "left")
+    return answers.select(
+        "seed_id",
+        "from_cache",
+        "depth",
+        "pages_visited",
+        "n_emails",
+        F.coalesce("emails", F.lit("")).alias("emails"),
+        "error",
+    )
+
+
 @query
 def scan_uncached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same seeds with the cache switched off."""

@@ -11,6 +11,7 @@ from contactloom.functions.urls import canonical_url, url_host, url_key
 from contactloom.operators.addresses import pages_visited, reach_emails
 from contactloom.operators.graph import crawl, crawl_exact
 from contactloom.operators.pages import page_contents, page_emails, site_edges
+from contactloom.operators.parsed import ParsedSites
 from contactloom.operators.results import Results, lookup, upsert_results
 from contactloom.operators.skew import ROWS_PER_TASK, spread_join
 from contactloom.options import ScanOptions
@@ -41,14 +42,20 @@ def crawl_sites(
     exact: bool = False,
     compat: bool = False,
     rows: int = ROWS_PER_TASK,
+    parsed: ParsedSites | None = None,
 ) -> Crawled:
     """Walk the sites of ``starts`` (one column ``start``) and collect their addresses.
 
-    Only pages on the hosts of the starts are read and parsed, once for all starts.
+    Only pages on the hosts of the starts are read and parsed, once for all starts. With
+    ``parsed`` (kept up to date with ``pages``) nothing is parsed: the pages of those hosts
+    are read from their buckets of the store.
     """
     starts = starts.select("start").distinct()
     hosts = starts.select(url_host(F.col("start")).alias("host"))
-    contents = stored(page_contents(latest_pages(pages_of_hosts(pages, hosts), rows=rows)))
+    if parsed is not None:
+        contents = stored(parsed.contents(hosts))
+    else:
+        contents = stored(page_contents(latest_pages(pages_of_hosts(pages, hosts), rows=rows)))
     walk = crawl_exact if exact else crawl
     reach = walk(starts, site_edges(contents), options.max_depth, rows=rows)
     emails = stored(reach_emails(reach, page_emails(contents), rows))
@@ -63,6 +70,7 @@ def scan(
     options: ScanOptions | None = None,
     compat: bool = False,
     rows: int = ROWS_PER_TASK,
+    parsed: ParsedSites | None = None,
 ) -> Scan:
     """Answer ``seeds`` (``seed_id, url, requested_at``) from ``results`` and ``pages``.
 
@@ -96,7 +104,7 @@ def scan(
         F.col("first.seed_id").alias("leader"),
         F.col("first.seed_id").cast("string").alias("scan_id"),
     )
-    crawled = crawl_sites(leaders, pages, options, compat=compat, rows=rows)
+    crawled = crawl_sites(leaders, pages, options, compat=compat, rows=rows, parsed=parsed)
 
     counts = crawled.emails.groupBy("start").agg(F.count(F.lit(1)).cast("int").alias("n_emails"))
     records = stored(
