@@ -29,7 +29,7 @@ class Grams:
 
     def __init__(self, buckets: int, orders: tuple[int, ...]) -> None:
         self.buckets, self.orders = buckets, orders
-        # Letters of the planes in use; the rest are asked for one by one.
+        # Letters of the first three planes; codes above are asked for one distinct code at a time.
         self.letter = np.array([chr(c).isalpha() for c in range(0x30000)])
         draw = np.random.default_rng(11)
         self.gap = " " * max(1, max(orders) - 1)
@@ -49,6 +49,11 @@ class Grams:
         """
         codes, begin = self._codes(texts)
         letter = self.letter[np.minimum(codes, len(self.letter) - 1)]
+        high = codes >= len(self.letter)
+        if high.any():
+            above = np.unique(codes[high])
+            letters = above[np.array([chr(int(c)).isalpha() for c in above], dtype=bool)]
+            letter[high] = np.isin(codes[high], letters)
         value = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
         some = np.add.reduceat(letter, begin[:-1]) > 0
         out, total = [], np.zeros(len(value), np.uint64)

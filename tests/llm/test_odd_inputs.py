@@ -94,3 +94,15 @@ def test_defined_results_of_blank_texts(odd):
     assert licence[4].digest is None and licence[12].license_id == "MIT notice"
     mix = {r.doc_id: r for r in mixing.mix_sources(odd).collect()}
     assert mix[4].size == mix[6].size == 0 and mix[4].taken == 0
+
+
+def test_long_digit_runs_and_letters_of_late_planes():
+    """IP-like runs of thousands of zeros do not end the query; letters from U+30000 on count."""
+    from contactloom.llm.disclosure import base_spans
+    from contactloom.llm.language import Grams
+
+    spans = base_spans("0" * 5000 + "1.2.3.4 and 10.0.0.1")
+    # The first part, 5,000 zeros and a one, is the number 1.
+    assert spans == [("ip", 0, 5007), ("ip", 5012, 5020)]
+    _, _, some = Grams(64, (1, 2, 3)).buckets_of(["\U00030000\U00030001", "!! 12"])
+    assert list(some) == [True, False]
