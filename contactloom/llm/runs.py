@@ -39,10 +39,9 @@ def planted(words: list[str], h: int | None) -> list[str]:
 
 
 def _rank_levels(x: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the substrings of length 1, 2, 4, ... at each position (prefix doubling).
-
-    Past the end counts as smaller than every word, so the last level ranks the suffixes.
-    Equal ranks at level ``t`` mean equal substrings of length ``2**t``, both inside.
+    """Ranks of the substrings of length 1, 2, 4, ... at each position (prefix doubling),
+    for common extensions: equal ranks at level ``t`` mean equal substrings of length
+    ``2**t``, both inside.
     """
     n = len(x)
     rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
@@ -73,17 +72,61 @@ def _lce(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def lyndon_array(suffix_rank: np.ndarray) -> np.ndarray:
-    """Length of the longest Lyndon word at each position: up to the next smaller suffix."""
-    n = len(suffix_rank)
-    nxt = np.full(n, n, dtype=np.int64)
-    stack: list[int] = []
-    ranks = suffix_rank.tolist()
-    for k in range(n):
-        while stack and ranks[stack[-1]] > ranks[k]:
-            nxt[stack.pop()] = k
-        stack.append(k)
-    return nxt - np.arange(n)
+def lyndon_array(x: np.ndarray) -> np.ndarray:
+    """Length of the longest Lyndon word at each position (past the end counts as smallest),
+    by the grouping of phase one of Baier's suffix sorter.
+
+    Positions start in groups of their first word, ordered as the words are. Groups are
+    taken from the greatest down; each position of the group taken looks for its previous
+    position in a group not yet taken (jumping over taken ones by their own such pointers),
+    and that position's Lyndon prefix grows to end where the taken one's ends. Grown
+    positions leave their group for a new one right after it, one per number of times they
+    grew in this step. When all groups are taken, the prefixes are the Lyndon words.
+    Linear in practice: each position is taken once; pointer jumps skip taken stretches.
+    """
+    n = len(x)
+    length = [1] * n
+    previous = [-1] * n
+    taken = [False] * n
+    values = np.unique(x)
+    group_of = np.searchsorted(values, x).tolist()
+    members: dict[int, list[int]] = {g: [] for g in range(len(values))}
+    for i, g in enumerate(group_of):
+        members[g].append(i)
+    after = {g: g + 1 if g + 1 < len(values) else None for g in range(len(values))}
+    before = {g: g - 1 if g else None for g in range(len(values))}
+    fresh = len(values)
+    group = len(values) - 1 if n else None
+    while group is not None:
+        current = [i for i in members.pop(group) if group_of[i] == group]
+        for i in current:
+            taken[i] = True
+        grown: dict[int, int] = {}
+        for i in current:
+            j = i - 1
+            while j >= 0 and taken[j]:
+                j = previous[j]
+            previous[i] = j
+            if j >= 0:
+                length[j] = i + length[i] - j
+                grown[j] = grown.get(j, 0) + 1
+        split: dict[int, dict[int, list[int]]] = {}
+        for j, times in grown.items():
+            split.setdefault(group_of[j], {}).setdefault(times, []).append(j)
+        for old, by_times in split.items():
+            place = old
+            for times in sorted(by_times):
+                new, fresh = fresh, fresh + 1
+                members[new] = sorted(by_times[times])
+                for j in members[new]:
+                    group_of[j] = new
+                after[new], before[new] = after[place], place
+                if after[place] is not None:
+                    before[after[place]] = new
+                after[place] = new
+                place = new
+        group = before[group]
+    return np.array(length, dtype=np.int64)
 
 
 def runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
@@ -101,8 +144,7 @@ def runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
     backward = _rank_levels(ids[::-1])
     found = []
     for order in (ids, ids.max() - ids):
-        suffix = forward[-1] if order is ids else _rank_levels(order)[-1]
-        length = lyndon_array(suffix)
+        length = lyndon_array(order)
         k = np.arange(n)
         right = _lce(forward, k, k + length)
         # Common extension to the left: backwards from k-1 and k+length-1.

@@ -235,6 +235,22 @@ def _plain_runs(w):
     return sorted(out)
 
 
+def _next_smaller_suffix(x):
+    """Lyndon array as the distance to the next smaller suffix (past the end smallest)."""
+    n = len(x)
+    suffixes = sorted(range(n), key=lambda i: list(x[i:]))
+    rank = {i: r for r, i in enumerate(suffixes)}
+    return [next((j for j in range(i + 1, n) if rank[j] < rank[i]), n) - i for i in range(n)]
+
+
+def test_lyndon_grouping_against_next_smaller_suffix():
+    rnd = random.Random(9)
+    for _ in range(2000):
+        x = np.array([rnd.randrange(rnd.randint(1, 4)) for _ in range(rnd.randint(1, 30))], dtype=np.int64)
+        for order in (x, x.max() - x):
+            assert runs.lyndon_array(order).tolist() == _next_smaller_suffix(order.tolist())
+
+
 def test_runs_against_plain_search():
     rnd = random.Random(5)
     for _ in range(1500):
