@@ -85,23 +85,29 @@ def lyndon_array(x: np.ndarray) -> np.ndarray:
     Linear in practice: each position is taken once; pointer jumps skip taken stretches.
     """
     n = len(x)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    values, first = np.unique(x, return_inverse=True)
+    group_of = first.tolist()
+    g0 = len(values)
+    order = np.argsort(first, kind="stable")
+    bounds = np.searchsorted(first[order], np.arange(g0 + 1)).tolist()
+    pos = order.tolist()
+    members = [pos[bounds[g]:bounds[g + 1]] for g in range(g0)]
+    after = list(range(1, g0)) + [-1]
+    before = list(range(-1, g0 - 1))
     length = [1] * n
     previous = [-1] * n
     taken = [False] * n
-    values = np.unique(x)
-    group_of = np.searchsorted(values, x).tolist()
-    members: dict[int, list[int]] = {g: [] for g in range(len(values))}
-    for i, g in enumerate(group_of):
-        members[g].append(i)
-    after = {g: g + 1 if g + 1 < len(values) else None for g in range(len(values))}
-    before = {g: g - 1 if g else None for g in range(len(values))}
-    fresh = len(values)
-    group = len(values) - 1 if n else None
-    while group is not None:
-        current = [i for i in members.pop(group) if group_of[i] == group]
+    group = g0 - 1
+    while group >= 0:
+        current = members[group]
+        members[group] = None
+        if len(current) > 1 or (current and group_of[current[0]] != group):
+            current = [i for i in current if group_of[i] == group]
         for i in current:
             taken[i] = True
-        grown: dict[int, int] = {}
+        grown = []
         for i in current:
             j = i - 1
             while j >= 0 and taken[j]:
@@ -109,22 +115,32 @@ def lyndon_array(x: np.ndarray) -> np.ndarray:
             previous[i] = j
             if j >= 0:
                 length[j] = i + length[i] - j
-                grown[j] = grown.get(j, 0) + 1
-        split: dict[int, dict[int, list[int]]] = {}
-        for j, times in grown.items():
-            split.setdefault(group_of[j], {}).setdefault(times, []).append(j)
-        for old, by_times in split.items():
-            place = old
-            for times in sorted(by_times):
-                new, fresh = fresh, fresh + 1
-                members[new] = sorted(by_times[times])
-                for j in members[new]:
-                    group_of[j] = new
-                after[new], before[new] = after[place], place
-                if after[place] is not None:
-                    before[after[place]] = new
-                after[place] = new
-                place = new
+                grown.append(j)
+        if grown:
+            if len(grown) == 1:
+                split = {group_of[grown[0]]: {1: grown}}
+            else:
+                times = {}
+                for j in grown:
+                    times[j] = times.get(j, 0) + 1
+                split = {}
+                for j, t in times.items():
+                    split.setdefault(group_of[j], {}).setdefault(t, []).append(j)
+            for old, by_times in split.items():
+                place = old
+                for t in sorted(by_times):
+                    new = len(members)
+                    moved = sorted(by_times[t])
+                    members.append(moved)
+                    for j in moved:
+                        group_of[j] = new
+                    nxt = after[place]
+                    after.append(nxt)
+                    before.append(place)
+                    if nxt >= 0:
+                        before[nxt] = new
+                    after[place] = new
+                    place = new
         group = before[group]
     return np.array(length, dtype=np.int64)
 
@@ -158,6 +174,32 @@ def runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
     return [tuple(int(v) for v in row) for row in every[order]]
 
 
+def may_hold_a_run(ids: np.ndarray) -> bool:
+    """False only if the sequence has no run of length ``>= max(24, 3 * period)``.
+
+    In such a run of period ``q`` and length ``L`` every word before the last ``q`` recurs
+    ``q`` words later, so ``L - q >= max(2q, 24 - q)`` consecutive positions have their
+    next equal word at most ``q`` ahead. With ``m`` the least power of two from ``q`` on
+    (``q <= m < 2q``) those positions form a stretch of at least ``max(m + 1, 24 - m)``
+    with their next equal word at most ``m`` ahead. Texts without such a stretch for any
+    ``m`` are left out of the Lyndon arrays: they have no run.
+    """
+    n = len(ids)
+    if n < LEAST_LENGTH:
+        return False
+    order = np.argsort(ids, kind="stable")
+    same = ids[order][1:] == ids[order][:-1]
+    ahead = np.full(n, 2 * n + 1, dtype=np.int64)
+    ahead[order[:-1][same]] = order[1:][same] - order[:-1][same]
+    m = 1
+    while m <= n:
+        edges = np.flatnonzero(np.diff(np.r_[0, (ahead <= m).astype(np.int8), 0]))
+        if len(edges) and (edges[1::2] - edges[::2]).max() >= max(m + 1, LEAST_LENGTH - m):
+            return True
+        m *= 2
+    return False
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
@@ -167,7 +209,7 @@ def summary(words: list[str]) -> dict:
     word of such a run after its first period is dropped."""
     n = len(words)
     ids = np.unique(np.array(words, dtype=object), return_inverse=True)[1].astype(np.int64) if n else np.zeros(0, np.int64)
-    found = [r for r in runs(ids) if r[1] >= max(LEAST_LENGTH, LEAST_EXPONENT * r[2])]
+    found = [r for r in runs(ids) if r[1] >= max(LEAST_LENGTH, LEAST_EXPONENT * r[2])] if may_hold_a_run(ids) else []
     cover = np.zeros(n + 1, dtype=np.int64)
     for start, length, period in found:
         cover[start + period] += 1

@@ -262,6 +262,22 @@ def test_runs_against_plain_search():
         assert (runs.runs(np.array(w, dtype=np.int64)) if n else []) == _plain_runs(w)
 
 
+def test_texts_left_out_of_the_arrays_have_no_run():
+    rnd = random.Random(12)
+    for _ in range(400):
+        n = rnd.randint(20, 90)
+        w = [rnd.randrange(rnd.randint(2, 12)) for _ in range(n)]
+        if rnd.random() < 0.6:
+            a, p = rnd.randrange(n), rnd.randint(1, 12)
+            w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+        want = [r for r in _plain_runs(w) if r[1] >= max(24, 3 * r[2])]
+        if want:
+            assert runs.may_hold_a_run(np.array(w, dtype=np.int64))
+        got = runs.summary([str(v) for v in w])
+        assert got["n_runs"] == len(want)
+        assert got["runs_sha256"] == _sha("".join(f"{s},{l},{p}\n" for s, l, p in want))
+
+
 def test_summary_of_a_planted_tail():
     words = [f"w{i}" for i in range(40)]
     # h = 10 * g: g = 13 gives a = 13, p = 1 + 27 // 8 = 4
