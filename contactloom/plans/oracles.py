@@ -516,3 +516,5 @@ ORACLES["jobs_upsert"] = ORACLES["stream_job_state"]
 ORACLES["cache_publish"] = ORACLES["cache_upsert"]
 # A scan over stored parsed pages answers as one that parses them.
 ORACLES["scan_stored"] = ORACLES["scan_batch"]
+# Refolded on late actions, the stream ends where the whole log folded at once does.
+ORACLES["stream_job_refold"] = ORACLES["stream_job_state"]

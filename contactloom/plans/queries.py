@@ -660,6 +660,22 @@ def stream_job_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.latest_states(changes).select("job_id", "status", *times, "active")
 
 
+@query
+def stream_job_refold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last state of every job when the log comes in three parts dealt by a hash of the
+    action, not by time: late actions refold their job."""
+    folder = _folder(spark)
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        return keyed.stream_keyed_jobs(source, folder, expire=False, refold=True)
+
+    shuffled = _events(spark, sf_dir).withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(1000)))
+    _in_parts(shuffled, "_part", f"{folder}/in", start)
+    changes = spark.read.schema(keyed.OUTPUT).parquet(f"{folder}/out")
+    times = ("created_at", "started_at", "completed_at", "updated_at")
+    return keyed.latest_states(changes).select("job_id", "status", *times, "active")
+
+
 @query
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs that ended and were forgotten by their timer once the watermark passed the end

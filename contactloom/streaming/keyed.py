@@ -41,7 +41,8 @@ STATE = (
 _STATE_NAMES = [part.split()[0] for part in STATE.split(", ")]
 OUTPUT = (
     "kind string, job_id string, status string, created_at long, started_at long, "
-    "completed_at long, updated_at long, active boolean, seen_at long, ts long, seq long, action string"
+    "completed_at long, updated_at long, active boolean, seen_at long, ts long, seq long, action string, "
+    "revision long"
 )
 _OUT_NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -120,17 +121,26 @@ class JobFold(StatefulProcessor):
     """Folds the actions of a job into its state; with ``expire`` ended jobs are forgotten
     when the watermark passes the end of their record.
 
-    Memory per job and batch: its actions of the batch, about 30 bytes each, so the
-    stream's source must bound its batches (``maxFilesPerTrigger``).
+    With ``refold`` the actions of each job are kept in a list state as well, and an action
+    older than the newest one folded makes the job be folded again from its whole log, so
+    late actions change what they must instead of being set aside.
+
+    Memory per job and batch: its actions of the batch, about 30 bytes each (with
+    ``refold``, of its whole log when a late one comes), so the stream's source must bound
+    its batches (``maxFilesPerTrigger``). Each state row carries a ``revision`` that grows
+    per job, so the last one written wins even when a refold leaves ``seen_at`` as it was.
     """
 
-    def __init__(self, hours: int = KEPT_HOURS, expire: bool = True):
-        self.hours, self.expire = hours, expire
+    def __init__(self, hours: int = KEPT_HOURS, expire: bool = True, refold: bool = False):
+        self.hours, self.expire, self.refold = hours, expire, refold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", STATE)
         self.timer = handle.getValueState("timer", "at long")
+        self.revision = handle.getValueState("revision", "n long")
+        if self.refold:
+            self.log = handle.getListState("log", "ts long, seq long, action string")
 
     def _row(self, kind: str, key: str, state: dict | None, late=(None, None, None)) -> dict:
         row = {name: None for name in _OUT_NAMES}
@@ -145,11 +155,18 @@ class JobFold(StatefulProcessor):
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
         actions = list(zip(frame["ts_us"].tolist(), frame["seq"].tolist(), frame["action"].tolist()))
         old = dict(zip(_STATE_NAMES, self.job.get())) if self.job.exists() else None
+        if self.refold:
+            self.log.appendList([tuple(a) for a in actions])
+            if old is not None and actions and actions[0][0] < old["seen_at"]:
+                old = None
+                actions = sorted(tuple(a) for a in self.log.get())
         state, late = fold_job(old, actions, self.hours)
         out = [self._row("late", key[0], None, a) for a in late]
         if state is not None and state != old:
             self.job.update(tuple(state[name] for name in _STATE_NAMES))
-            out.append(self._row("state", key[0], state))
+            revision = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+            self.revision.update((revision,))
+            out.append(self._row("state", key[0], state) | {"revision": revision})
             if self.expire:
                 self._set_timer(state)
         if out:
@@ -173,28 +190,36 @@ class JobFold(StatefulProcessor):
         state = dict(zip(_STATE_NAMES, self.job.get()))
         self.job.clear()
         self.timer.clear()
+        self.revision.clear()
+        if self.refold:
+            self.log.clear()
         yield pd.DataFrame([self._row("expired", key[0], state)], columns=_OUT_NAMES)
 
     def close(self) -> None:
         pass
 
 
-def keyed_job_changes(events: DataFrame, hours: int = KEPT_HOURS, expire: bool = True, delay: str = "0 seconds") -> DataFrame:
+def keyed_job_changes(
+    events: DataFrame, hours: int = KEPT_HOURS, expire: bool = True, delay: str = "0 seconds", refold: bool = False
+) -> DataFrame:
     """Rows of changed jobs per batch (``kind`` ``state``), late actions (``late``) and, with
     ``expire``, jobs forgotten by their timer (``expired``); times in microseconds.
 
-    ``events`` is a stream of ``job_id, ts, seq, action`` with a watermark of ``delay`` on
-    ``ts``. Rows of a NULL job go to a job of their own key NULL.
+    ``events`` is a stream of ``job_id, ts, seq, action``; with ``expire`` it gets a
+    watermark of ``delay`` on ``ts`` for the timers. Rows of a NULL job go to a job of
+    their own key NULL. ``refold``: see ``JobFold``.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    given = events.withWatermark("ts", delay).select(
+    if expire:
+        events = events.withWatermark("ts", delay)
+    given = events.select(
         "job_id", "ts", F.unix_micros("ts").alias("ts_us"), F.col("seq").cast("long").alias("seq"), "action"
     )
     return (
         given.groupBy("job_id")
         .transformWithStateInPandas(
-            statefulProcessor=JobFold(hours, expire),
+            statefulProcessor=JobFold(hours, expire, refold),
             outputStructType=OUTPUT,
             outputMode="Append",
             timeMode="EventTime" if expire else "None",
@@ -202,10 +227,12 @@ def keyed_job_changes(events: DataFrame, hours: int = KEPT_HOURS, expire: bool =
     )
 
 
-def stream_keyed_jobs(events: DataFrame, path: str, hours: int = KEPT_HOURS, expire: bool = True) -> DataStreamWriter:
+def stream_keyed_jobs(
+    events: DataFrame, path: str, hours: int = KEPT_HOURS, expire: bool = True, refold: bool = False
+) -> DataStreamWriter:
     """A writer of the changes of ``keyed_job_changes`` to ``path/out``; set its trigger and start it."""
     return (
-        keyed_job_changes(events, hours, expire)
+        keyed_job_changes(events, hours, expire, refold=refold)
         .writeStream.format("parquet")
         .option("path", f"{path}/out")
         .option("checkpointLocation", f"{path}/progress")
@@ -218,6 +245,6 @@ def latest_states(changes: DataFrame) -> DataFrame:
 
     A job whose timer fired after its last change is gone."""
     last = changes.filter(F.col("kind").isin("state", "expired")).groupBy("job_id").agg(
-        F.max_by(F.struct(*[c for c in _OUT_NAMES if c != "job_id"]), F.struct("seen_at", F.col("kind") == "expired")).alias("r")
+        F.max_by(F.struct(*[c for c in _OUT_NAMES if c != "job_id"]), F.struct("seen_at", "revision", F.col("kind") == "expired")).alias("r")
     )
     return last.select("job_id", "r.*").filter(F.col("kind") == "state")
