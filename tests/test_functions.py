@@ -270,3 +270,16 @@ def test_reader_survives_any_markup():
         body, hrefs, refresh = H.read_page(page)
         assert isinstance(body, str) and all(isinstance(h, str) for h in hrefs)
         assert refresh is None or refresh
+
+
+def test_pages_are_parsed_in_slices_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from contactloom.functions import html
+
+    monkeypatch.setattr(html, "SLICE_BYTES", 1_000)
+    markup = ["<p>" + "x" * n + "</p>" for n in (300, 300, 300, 5_000, 10, 0)] + [None, ""]
+    slices = list(html._slices(pa.array(markup)))
+    assert [page for part in slices for page in part.to_pylist()] == markup
+    assert all(len(part) == 1 or part.nbytes < 1_200 for part in slices) and len(slices) == 3
+    assert [len(part) for part in html._slices(pa.array([], pa.string()))] == [0]
