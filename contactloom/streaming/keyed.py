@@ -45,6 +45,9 @@ OUTPUT = (
     "revision long"
 )
 _OUT_NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
+_OUT_STATE = [name for name in _OUT_NAMES if name in _STATE_NAMES]
+# Groups that jobs are dealt to; a stream keeps the number it began with.
+BUCKETS = 1024
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # The processor runs in Python workers, which need no copy of this package.
@@ -118,16 +121,21 @@ def fold_job(old: dict | None, actions: list[tuple[int, int, str]], hours: int)
 
 
 class JobFold(StatefulProcessor):
-    """Folds the actions of a job into its state; with ``expire`` ended jobs are forgotten
+    """Folds the actions of jobs into their states; with ``expire`` ended jobs are forgotten
     when the watermark passes the end of their record.
 
-    With ``refold`` the actions of each job are kept in a list state as well, and an action
+    Jobs are dealt to buckets by a hash, and a bucket holds its jobs in a map state by
+    ``job_id``: the rows of a bucket cross to Python and back together, and what is read and
+    written in the store is the jobs that have actions. A bucket has one timer, at the earliest
+    end of a record; when it fires, the jobs in ``due`` that ran out go.
+
+    With ``refold`` the actions of each job are kept as well, and an action
     older than the newest one folded makes the job be folded again from its whole log, so
     late actions change what they must instead of being set aside.
 
-    Memory per job and batch: its actions of the batch, about 30 bytes each (with
-    ``refold``, of its whole log when a late one comes), so the stream's source must bound
-    its batches (``maxFilesPerTrigger``). Each state row carries a ``revision`` that grows
+    Memory per bucket and batch: its actions of the batch, about 100 bytes each (with
+    ``refold``, the whole log of a job when a late one comes), and its jobs in ``due``, so the stream's source
+    must bound its batches (``maxFilesPerTrigger``). Each state row carries a ``revision`` that grows
     per job, so the last one written wins even when a refold leaves ``seen_at`` as it was.
     """
 
@@ -136,64 +144,95 @@ class JobFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", STATE)
-        self.timer = handle.getValueState("timer", "at long")
-        self.revision = handle.getValueState("revision", "n long")
+        self.jobs = handle.getMapState("jobs", "job_id string", f"{STATE}, revision long, parts long")
+        if self.expire:
+            self.due = handle.getMapState("due", "job_id string", "at long")
+            self.timer = handle.getValueState("timer", "at long")
         if self.refold:
-            self.log = handle.getListState("log", "ts long, seq long, action string")
+            self.log = handle.getMapState(
+                "log", "job_id string, part long", "ts array<long>, seq array<long>, action array<string>"
+            )
+
+    def _row(self, kind: str, job: str, state: dict | None, late=(None, None, None), revision=None) -> tuple:
+        values = [state[name] if state else None for name in _OUT_STATE]
+        return kind, job, *values, *late, revision
 
-    def _row(self, kind: str, key: str, state: dict | None, late=(None, None, None)) -> dict:
-        row = {name: None for name in _OUT_NAMES}
-        row.update(kind=kind, job_id=key)
-        if state:
-            row.update(state)
-            del row["guard"]
-        row.update(ts=late[0], seq=late[1], action=late[2])
-        return row
+    def _due_at(self, state: dict | None) -> int | None:
+        """Millisecond at which the record of an ended job runs out."""
+        if state is None or state["active"]:
+            return None
+        return -(-(state["updated_at"] + self.hours * 3_600_000_000) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
-        actions = list(zip(frame["ts_us"].tolist(), frame["seq"].tolist(), frame["action"].tolist()))
-        old = dict(zip(_STATE_NAMES, self.job.get())) if self.job.exists() else None
+        logs: dict[str | None, list] = {}
+        columns = (frame[name].tolist() for name in ("job_id", "ts_us", "seq", "action"))
+        for job, *action in zip(*columns):
+            logs.setdefault(job if isinstance(job, str) else None, []).append(tuple(action))
+        out, earliest = [], None
+        for job, actions in logs.items():
+            at = self._fold(job, actions, out)
+            if at is not None:
+                earliest = at if earliest is None else min(earliest, at)
+        if earliest is not None:
+            self._set_timer(earliest)
+        if out:
+            yield pd.DataFrame(out, columns=_OUT_NAMES)
+
+    def _fold(self, job: str | None, actions: list, out: list) -> int | None:
+        """Fold one job, add its rows to ``out``; the end of its record, if that is new."""
+        held = self.jobs.getValue((job,))
+        old = dict(zip(_STATE_NAMES, held)) if held and held[0] is not None else None
+        revision, parts = held[-2:] if held else (0, 0)
+        before = old
         if self.refold:
-            self.log.appendList([tuple(a) for a in actions])
-            if old is not None and actions and actions[0][0] < old["seen_at"]:
+            self.log.updateValue((job, parts), tuple(map(list, zip(*actions))))
+            parts += 1
+            # Without a state there may be actions that nothing accepted so far.
+            if parts > 1 and (old is None or actions[0][0] <= old["seen_at"]):
                 old = None
-                actions = sorted(tuple(a) for a in self.log.get())
+                kept = (self.log.getValue((job, part)) for part in range(parts))
+                actions = sorted(a for columns in kept for a in zip(*columns))
         state, late = fold_job(old, actions, self.hours)
-        out = [self._row("late", key[0], None, a) for a in late]
-        if state is not None and state != old:
-            self.job.update(tuple(state[name] for name in _STATE_NAMES))
-            revision = (self.revision.get()[0] if self.revision.exists() else 0) + 1
-            self.revision.update((revision,))
-            out.append(self._row("state", key[0], state) | {"revision": revision})
-            if self.expire:
-                self._set_timer(state)
-        if out:
-            yield pd.DataFrame(out, columns=_OUT_NAMES)
+        out += [self._row("late", job, None, a) for a in late]
+        changed = state is not None and state != old
+        revision += changed
+        if changed:
+            out.append(self._row("state", job, state, revision=revision))
+        if changed or self.refold:
+            self.jobs.updateValue((job,), (*(state or dict.fromkeys(_STATE_NAMES)).values(), revision, parts))
+        at = self._due_at(state) if self.expire and changed else None
+        if at is None or at == self._due_at(before):
+            return None
+        self.due.updateValue((job,), (at,))
+        return at
 
-    def _set_timer(self, state: dict) -> None:
-        before = self.timer.get()[0] if self.timer.exists() else None
-        at = None if state["active"] else -(-(state["updated_at"] + self.hours * 3_600_000_000) // 1000)
-        if before is not None and before != at:
-            self.handle.deleteTimer(before)
-        if at is not None and at != before:
-            self.handle.registerTimer(at)
-        if at is None:
-            self.timer.clear()
-        else:
-            self.timer.update((at,))
+    def _set_timer(self, at: int) -> None:
+        before = self.timer.get()
+        if before is not None and before[0] <= at:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.job.exists():
-            return
-        state = dict(zip(_STATE_NAMES, self.job.get()))
-        self.job.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        due = [(job, at) for (job,), (at,) in self.due.iterator()]
         self.timer.clear()
-        self.revision.clear()
-        if self.refold:
-            self.log.clear()
-        yield pd.DataFrame([self._row("expired", key[0], state)], columns=_OUT_NAMES)
+        later = [at for _, at in due if at > passed]
+        if later:
+            self._set_timer(min(later))
+        out = []
+        for job in (job for job, at in due if at <= passed):
+            held = self.jobs.getValue((job,))
+            self.jobs.removeKey((job,))
+            self.due.removeKey((job,))
+            for part in range(held[-1]):
+                self.log.removeKey((job, part))
+            out.append(self._row("expired", job, dict(zip(_STATE_NAMES, held)), revision=held[-2]))
+        if out:
+            yield pd.DataFrame(out, columns=_OUT_NAMES)
 
     def close(self) -> None:
         pass
@@ -213,11 +252,12 @@ def keyed_job_changes(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     if expire:
         events = events.withWatermark("ts", delay)
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS)).alias("bucket")
     given = events.select(
-        "job_id", "ts", F.unix_micros("ts").alias("ts_us"), F.col("seq").cast("long").alias("seq"), "action"
+        bucket, "job_id", *["ts"] * expire, F.unix_micros("ts").alias("ts_us"), F.col("seq").cast("long").alias("seq"), "action"
     )
     return (
-        given.groupBy("job_id")
+        given.groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=JobFold(hours, expire, refold),
             outputStructType=OUTPUT,

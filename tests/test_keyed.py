@@ -64,3 +64,44 @@ def test_timers_forget_ended_jobs_and_writes_follow_the_batch(spark):
     # State rows written per batch: the jobs of that batch, not all jobs.
     updated = [p["stateOperators"][0]["numRowsUpdated"] for p in progress]
     assert updated[0] >= 22 and all(n <= 2 for n in updated[1:])
+
+
+def test_a_changed_job_writes_one_row_of_state(spark):
+    folder = f"{shared_dir(spark)}/test-keyed/{uuid.uuid4().hex}"
+    first = [(f"x{i}", T0, i, "enqueue") for i in range(50)]
+    changes, progress = _run(spark, folder, [first], expire=False)
+    assert progress[0]["stateOperators"][0]["numRowsUpdated"] == 50
+    assert {(r.job_id, r.revision) for r in changes.collect()} == {(f"x{i}", 1) for i in range(50)}
+
+
+def test_processor_answers_a_bucket_at_once():
+    import pandas as pd
+
+    class Store(dict):
+        def getValue(self, key):
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    fold = keyed.JobFold(expire=False)
+    fold.jobs = Store()
+    t = _us(T0)
+    log = [(f"x{i}", t + k, k, a) for i in range(40) for k, a in ((2, "complete"), (0, "enqueue"))]
+    frames = [pd.DataFrame(log[at : at + 30], columns=["job_id", "ts_us", "seq", "action"]) for at in (0, 30, 60)]
+    out = list(fold.handleInputRows((7,), iter(frames), None))
+    assert len(out) == 1 and out[0]["job_id"].nunique() == len(out[0]) == len(fold.jobs) == 40
+    assert set(out[0]["status"]) == {"completed"}
+
+
+def test_refold_counts_actions_that_came_before_their_enqueue(spark):
+    folder = f"{shared_dir(spark)}/test-keyed/{uuid.uuid4().hex}"
+    schema = "job_id string, ts timestamp, seq long, action string"
+    h = dt.timedelta(hours=1)
+    for part in ([("a", T0 + h, 2, "start")], [("a", T0, 1, "enqueue"), (None, T0, 3, "enqueue")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        writer = keyed.stream_keyed_jobs(source, folder, expire=False, refold=True)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    last = keyed.latest_states(spark.read.schema(keyed.OUTPUT).parquet(f"{folder}/out"))
+    assert {r.job_id: r.status for r in last.collect()} == {"a": "processing", None: "queued"}
