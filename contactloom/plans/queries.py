@@ -639,7 +639,7 @@ def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(source: DataFrame) -> DataStreamWriter:
         return live_jobs.stream_job_state(source, folder)
 
-    _in_parts(_events(spark, sf_dir), "ts", f"{folder}/in", start)
+    _in_parts(stored(_events(spark, sf_dir)), "ts", f"{folder}/in", start)
     state = live_jobs.read_state(spark, folder, batch_id=2)
     times = ("created_at", "started_at", "completed_at", "updated_at")
     return state.select("job_id", "status", *[_micros(ts) for ts in times], "active")
@@ -654,7 +654,7 @@ def stream_job_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(source: DataFrame) -> DataStreamWriter:
         return keyed.stream_keyed_jobs(source, folder, expire=False)
 
-    _in_parts(_events(spark, sf_dir), "ts", f"{folder}/in", start)
+    _in_parts(stored(_events(spark, sf_dir)), "ts", f"{folder}/in", start)
     changes = spark.read.schema(keyed.OUTPUT).parquet(f"{folder}/out")
     times = ("created_at", "started_at", "completed_at", "updated_at")
     return keyed.latest_states(changes).select("job_id", "status", *times, "active")
@@ -669,7 +669,7 @@ def stream_job_refold(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(source: DataFrame) -> DataStreamWriter:
         return keyed.stream_keyed_jobs(source, folder, expire=False, refold=True)
 
-    shuffled = _events(spark, sf_dir).withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(1000)))
+    shuffled = stored(_events(spark, sf_dir)).withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(1000)))
     _in_parts(shuffled, "_part", f"{folder}/in", start)
     changes = spark.read.schema(keyed.OUTPUT).parquet(f"{folder}/out")
     times = ("created_at", "started_at", "completed_at", "updated_at")
@@ -685,7 +685,7 @@ def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(source: DataFrame) -> DataStreamWriter:
         return keyed.stream_keyed_jobs(source, folder, expire=True)
 
-    _in_parts(_events(spark, sf_dir), "ts", f"{folder}/in", start)
+    _in_parts(stored(_events(spark, sf_dir)), "ts", f"{folder}/in", start)
     changes = spark.read.schema(keyed.OUTPUT).parquet(f"{folder}/out")
     return changes.filter(F.col("kind") == "expired").select(
         "job_id", "status", "completed_at", "updated_at", "seen_at"

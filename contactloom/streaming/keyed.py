@@ -9,8 +9,10 @@ from the store and an ``expired`` row goes out. The fold is the one of
 
 from __future__ import annotations
 
+import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -48,6 +50,9 @@ _OUT_NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 _OUT_STATE = [name for name in _OUT_NAMES if name in _STATE_NAMES]
 # Groups that jobs are dealt to; a stream keeps the number it began with.
 BUCKETS = 1024
+# From this many jobs of a batch on, a bucket's map is read in one go, up to so many stored
+# jobs for each job asked for: a row read this way costs a small part of a call of its own.
+MANY_JOBS, READ_AHEAD = 64, 8
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # The processor runs in Python workers, which need no copy of this package.
@@ -126,8 +131,8 @@ class JobFold(StatefulProcessor):
 
     Jobs are dealt to buckets by a hash, and a bucket holds its jobs in a map state by
     ``job_id``: the rows of a bucket cross to Python and back together, and what is read and
-    written in the store is the jobs that have actions. A bucket has one timer, at the earliest
-    end of a record; when it fires, the jobs in ``due`` that ran out go.
+    written in the store is the jobs that have actions (see ``_held`` for large batches). A bucket
+    has one timer, at the earliest end of a record; when it fires, the jobs in ``due`` that ran out go.
 
     With ``refold`` the actions of each job are kept as well, and an action
     older than the newest one folded makes the job be folded again from its whole log, so
@@ -144,7 +149,9 @@ class JobFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.jobs = handle.getMapState("jobs", "job_id string", f"{STATE}, revision long, parts long")
+        # One JSON list per job: its id, the columns of STATE, revision, parts. Python reads and writes
+        # the schema of a state row with each row, so rows of many columns are slow.
+        self.jobs = handle.getMapState("jobs", "job_id string", "record string")
         if self.expire:
             self.due = handle.getMapState("due", "job_id string", "at long")
             self.timer = handle.getValueState("timer", "at long")
@@ -170,8 +177,9 @@ class JobFold(StatefulProcessor):
         for job, *action in zip(*columns):
             logs.setdefault(job if isinstance(job, str) else None, []).append(tuple(action))
         out, earliest = [], None
+        held = self._held(logs)
         for job, actions in logs.items():
-            at = self._fold(job, actions, out)
+            at = self._fold(job, held.get(job), actions, out)
             if at is not None:
                 earliest = at if earliest is None else min(earliest, at)
         if earliest is not None:
@@ -179,9 +187,30 @@ class JobFold(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=_OUT_NAMES)
 
-    def _fold(self, job: str | None, actions: list, out: list) -> int | None:
-        """Fold one job, add its rows to ``out``; the end of its record, if that is new."""
-        held = self.jobs.getValue((job,))
+    def _held(self, jobs: Collection[str | None]) -> dict[str | None, list]:
+        """What the store holds of ``jobs``.
+
+        Each call to the store is an exchange between two processes. For many jobs the map is
+        read from its start, in large pieces; the jobs that this does not reach are read one by one.
+        """
+        found, rest = {}, jobs
+        if len(jobs) >= MANY_JOBS:
+            stored = self.jobs.values()
+            for (record,) in islice(stored, READ_AHEAD * len(jobs)):
+                job, *held = json.loads(record)
+                if job in jobs:
+                    found[job] = held
+            ended = next(stored, None) is None
+            rest = [] if ended else [job for job in jobs if job not in found]
+        for job in rest:
+            row = self.jobs.getValue((job,))
+            if row is not None:
+                found[job] = json.loads(row[0])[1:]
+        return found
+
+    def _fold(self, job: str | None, held: list | None, actions: list, out: list) -> int | None:
+        """Fold one job, of which the store holds ``held``, and add its rows to ``out``; the end
+        of its record, if that is new."""
         old = dict(zip(_STATE_NAMES, held)) if held and held[0] is not None else None
         revision, parts = held[-2:] if held else (0, 0)
         before = old
@@ -200,7 +229,8 @@ class JobFold(StatefulProcessor):
         if changed:
             out.append(self._row("state", job, state, revision=revision))
         if changed or self.refold:
-            self.jobs.updateValue((job,), (*(state or dict.fromkeys(_STATE_NAMES)).values(), revision, parts))
+            columns = [state[name] if state else None for name in _STATE_NAMES]
+            self.jobs.updateValue((job,), (json.dumps([job, *columns, revision, parts]),))
         at = self._due_at(state) if self.expire and changed else None
         if at is None or at == self._due_at(before):
             return None
@@ -225,7 +255,7 @@ class JobFold(StatefulProcessor):
             self._set_timer(min(later))
         out = []
         for job in (job for job, at in due if at <= passed):
-            held = self.jobs.getValue((job,))
+            held = json.loads(self.jobs.getValue((job,))[0])[1:]
             self.jobs.removeKey((job,))
             self.due.removeKey((job,))
             for part in range(held[-1]):

@@ -94,6 +94,40 @@ def test_processor_answers_a_bucket_at_once():
     assert set(out[0]["status"]) == {"completed"}
 
 
+def test_many_jobs_of_a_bucket_are_read_in_one_go():
+    import pandas as pd
+
+    class Store(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def values(self):
+            return iter(list(super().values()))
+
+    fold = keyed.JobFold(expire=False)
+    fold.jobs = Store()
+    t, n = _us(T0), 10 * keyed.MANY_JOBS
+
+    def fed(jobs, k, action):
+        rows = pd.DataFrame([(job, t + k, k, action) for job in jobs], columns=["job_id", "ts_us", "seq", "action"])
+        (out,) = fold.handleInputRows((7,), iter([rows]), None)
+        return {r.job_id: (r.status, r.created_at, r.revision) for r in out.itertuples()}
+
+    names = [None, *(f"x{i}" for i in range(1, n))]
+    assert fed(names, 0, "enqueue") == dict.fromkeys(names, ("queued", t, 1)) and len(fold.jobs) == n
+    assert fed(names, 1, "start") == dict.fromkeys(names, ("processing", t, 2)) and fold.jobs.calls == 0
+    # Few of the jobs: reading stops after READ_AHEAD stored jobs for each, the others are asked for.
+    few = [*names[: 1], *names[-keyed.MANY_JOBS + 1 :]]
+    assert fed(few, 2, "fail") == dict.fromkeys(few, ("failed", t, 3))
+    assert 0 < fold.jobs.calls < len(few) and len(fold.jobs) == n
+
+
 def test_refold_counts_actions_that_came_before_their_enqueue(spark):
     folder = f"{shared_dir(spark)}/test-keyed/{uuid.uuid4().hex}"
     schema = "job_id string, ts timestamp, seq long, action string"
