@@ -15,19 +15,31 @@ from contactloom.llm.tables import by_size, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-RUN_CHARS = 1_000_000
+RUN_CHARS = 4_000_000
 
 _BLANK = 0x2581
 # Stands for a blank mark that is in the text itself; no piece holds it.
 _OWN_MARK = 0x110000
 _BASE = 0x9E3779B97F4A7C15
 _FILTER = 1 << 20
+_WORD = 2**64 - 1
+_BLOCK = 1 << 13
 # Steps of a path whose branches are drawn at first, and how far a draw can lie above its mass:
 # the least uniform draw is 2 ** -54.
 _STEPS, _REACH = 400, 54 * float(np.log(2))
 _A, _B, _C = (np.uint64(x) for x in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25))
 
 
+def _mixed_int(x: int) -> int:
+    """``mixed`` of one value."""
+    x &= _WORD
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _WORD
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _WORD
+    return x ^ x >> 31
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces by id. ``scores`` are log weights; pieces of special kinds have none."""
@@ -89,14 +101,19 @@ class Sampler:
         self.longest = max(map(len, text))
         self.powers = self.inverses = np.ones(1, np.uint64)
         self._grow(RUN_CHARS * 5 // 4)
-        hashes = np.array([self._hash(t) for t in text], np.uint64)
+        # Hashes of all pieces and of what they begin with, from sums over the pieces in a row.
+        size = np.array([len(t) for t in text], np.int64)
+        sums = self._sums(np.frombuffer("".join(text).encode("utf-32-le"), np.uint32))
+        ends = np.cumsum(size)
+        first = np.repeat(ends - size, size)
+        begun = (sums[1:] - sums[first]) * self.inverses[first]
+        hashes = begun[ends - 1]
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.ids = np.array(normal, np.int32)[order]
         self.scores = np.array([vocabulary.scores[i] for i in normal], np.float32)[order]
         # Whether some piece may begin with a run of characters, by its hash.
         self.begins = np.zeros(_FILTER, bool)
-        begun = np.array([self._hash(t) for t in {t[:k] for t in text for k in range(1, len(t) + 1)}])
         self.begins[(begun % np.uint64(_FILTER)).astype(np.int64)] = True
         self.held = np.zeros(_OWN_MARK + 1, bool)
         self.held[[ord(c) for t in text for c in t]] = True
@@ -117,9 +134,6 @@ class Sampler:
         values = mixed(codes.astype(np.uint64)) * self.powers[: len(codes)]
         return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
 
-    def _hash(self, text: str) -> np.uint64:
-        return self._sums(np.frombuffer(text.encode("utf-32-le"), np.uint32))[-1]
-
     def _units(self, texts: list[str]):
         """Codes of all texts, starts of units, and where each text's units begin."""
         joined = " " + " ".join(texts) if texts else ""
@@ -193,35 +207,39 @@ class Sampler:
         return base, row, score, ids
 
     @staticmethod
-    def _uniform(seed: np.ndarray, a, b) -> np.ndarray:
-        """Draws in (0, 1) that depend on seeds and places only."""
-        x = mixed(mixed(seed + np.asarray(a).astype(np.uint64) * _A) + np.asarray(b).astype(np.uint64) * _B)
-        return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    def _draw(seed: int, a: int, b: int) -> float:
+        """A draw in (0, 1) that depends on seed and place only."""
+        x = _mixed_int(_mixed_int(seed + a * int(_A)) + b * int(_B))
+        return ((x >> 11) + 0.5) * 2.0**-53
 
     def _follow(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray, place: np.ndarray, row, chance):
         """A path by chance through each unit: flat edges by unit, and where each unit's begin."""
         n = len(node)
-        kept, count, active = [], np.zeros(n, np.int64), np.arange(n)
+        kept, count = [], np.zeros(n, np.int64)
         seed = mixed(seed + place.astype(np.uint64) * _A)
-        node, left, t = node.copy(), left.copy(), 0
-        while len(active):
-            own = row[node[active]]
-            rows = chance[own]
-            x = mixed(seed[active] + np.array([t], np.uint64) * _B) >> np.uint64(11)
-            u = (x.astype(np.float64) + 0.5) * 2.0**-53
-            pick = (u[:, None] >= rows).sum(1)
-            line = np.arange(len(own))
-            q = rows[line, pick] - np.where(pick > 0, rows[line, np.maximum(pick - 1, 0)], 0)
-            kept.append((active, own, pick, q))
-            count[active] += 1
-            node[active] += pick + 1
-            left[active] -= pick + 1
-            active = active[left[active] > 0]
-            t += 1
+        node, left = node.copy(), left.copy()
+        # Few units at a time, so that what a step gathers stays in the processor's cache.
+        for low in range(0, n, _BLOCK):
+            active, t = np.arange(low, min(low + _BLOCK, n)), 0
+            while len(active):
+                own = row[node[active]]
+                rows = chance[own]
+                x = mixed(seed[active] + np.array([t], np.uint64) * _B) >> np.uint64(11)
+                u = (x.astype(np.float64) + 0.5) * 2.0**-53
+                # The first edge whose running sum exceeds the draw; the last sum is 1.
+                pick = (u[:, None] < rows).argmax(1)
+                line = np.arange(len(own))
+                q = rows[line, pick] - np.where(pick > 0, rows[line, np.maximum(pick - 1, 0)], 0)
+                kept.append((t, active, own, pick, q))
+                count[active] += 1
+                node[active] += pick + 1
+                left[active] -= pick + 1
+                active = active[left[active] > 0]
+                t += 1
         begin = np.concatenate(([0], np.cumsum(count)))
         out_node, out_pick = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
         out_q = np.empty(begin[-1], np.float64)
-        for t, (active, own, pick, q) in enumerate(kept):
+        for t, active, own, pick, q in kept:
             at = begin[active] + t
             out_node[at], out_pick[at], out_q[at] = own, pick, q
         return begin, out_node, out_pick, out_q, np.log(out_q)
@@ -244,7 +262,7 @@ class Sampler:
         seed = mixed(seeds[full].astype(np.uint64))
         place = np.arange(len(start)) - begin[:-1][text_of]
         drawn = [
-            self._follow(node, size, mixed(seed[text_of] + x), place, row, chance)
+            self._follow(node, size, mixed(seed + x)[text_of], place, row, chance)
             for x in np.arange(1, k + 1, dtype=np.uint64) * _C
         ]
         for i, at in enumerate(full):
@@ -254,7 +272,7 @@ class Sampler:
 
     def _search(self, a, b, node, size, seed, drawn, rows, chance, ids, k):
         """Best-first search of one text, whose units are ``a`` to ``b``."""
-        last = np.uint64(2**40)
+        last, number = 2**40, int(seed)
 
         class Branches:
             """Draws of what a path leaves from its edge ``skip`` on, bounded by the path's own.
@@ -274,13 +292,12 @@ class Sampler:
                 a = self.upto
                 b = min(len(self.path[2]), a + max(_STEPS, a - self.skip))
                 q, log_q = self.path[2][a:b], self.path[3][a:b]
-                with np.errstate(divide="ignore"):
-                    mass = self.before + np.cumsum(log_q) - log_q + np.log1p(-np.minimum(q, 1.0))
-                mass[q > 1 - 1e-13] = -np.inf
-                own = mixed(np.array([seed + np.uint64(self.r)]) * _B)
+                own = np.uint64(_mixed_int((number + self.r) * int(_B)))
                 x = mixed(own + np.arange(a, b, dtype=np.uint64) * _A)
                 e = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
                 with np.errstate(divide="ignore"):
+                    mass = self.before + np.cumsum(log_q) - log_q + np.log1p(-np.minimum(q, 1.0))
+                    mass[q > 1 - 1e-13] = -np.inf
                     draw = mass - np.log(np.exp(mass - self.bound) + e)
                 self.draws = np.concatenate((self.draws, draw))
                 self.before += float(log_q.sum())
@@ -295,7 +312,7 @@ class Sampler:
 
         begin, *edges = drawn[0]
         path = tuple(x[int(begin[a]) : int(begin[b])] for x in edges)
-        gumbel = -np.log(-np.log(float(self._uniform(np.full(1, seed), 0, last + np.uint64(99))[0])))
+        gumbel = -np.log(-np.log(self._draw(number, 0, last + 99)))
         found = [(path, gumbel)]
         agenda = [Branches(path, 0, 0.0, gumbel, 0)]
         unit_begin = begin[a : b + 1] - begin[a]
@@ -313,7 +330,7 @@ class Sampler:
             banned = taken.setdefault(s, [int(old[1][s])])
             row[banned] = 0.0
             rest = row.sum()
-            u = float(self._uniform(np.full(1, seed), np.uint64(s), last + np.uint64(200 + r))[0])
+            u = self._draw(number, s, last + 200 + r)
             pick = int(np.searchsorted(np.cumsum(row), u * rest, "right"))
             pick = min(pick, int(np.flatnonzero(row)[-1]))
             w = int(np.searchsorted(bounds[best], s, "right")) - 1
@@ -322,7 +339,7 @@ class Sampler:
             steps = [(here, pick, float(chance[here, pick] - (chance[here, pick - 1] if pick else 0)))]
             at, t = at + pick + 1, 0
             while at < end:
-                u = float(self._uniform(np.full(1, seed), np.uint64(s), last + np.uint64(1_000 * (r + 1) + t))[0])
+                u = self._draw(number, s, last + 1_000 * (r + 1) + t)
                 on = int(rows[at])
                 p = int((u >= chance[on]).sum())
                 steps.append((on, p, float(chance[on, p] - (chance[on, p - 1] if p else 0))))
@@ -339,7 +356,7 @@ class Sampler:
             banned.append(pick)
             left = rest - row[pick]
             mass = before + np.log(left) if left > 1e-15 else -np.inf
-            e = -np.log(float(self._uniform(np.full(1, seed), np.uint64(s), last + np.uint64(500 + r))[0]))
+            e = -np.log(self._draw(number, s, last + 500 + r))
             branch.draws[s - branch.skip] = (
                 mass - np.log(np.exp(mass - bound) + e) if np.isfinite(mass) else -np.inf
             )

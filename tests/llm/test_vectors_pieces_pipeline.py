@@ -114,6 +114,21 @@ def test_all_segmentations_when_few():
     assert all(s[3] == 0 for s in got)
 
 
+def test_sampler_hashes_its_vocabulary_at_once(monkeypatch):
+    vocabulary, mixed, calls = pieces.load(), pieces.mixed, []
+    monkeypatch.setattr(pieces, "mixed", lambda x: calls.append(len(x)) or mixed(x))
+    sampler = pieces.Sampler(vocabulary)
+    assert len(calls) < 10
+    assert (np.diff(sampler.hashes.astype(object)) > 0).all()
+    for i in [i for i, s in enumerate(vocabulary.scores) if s is not None][::500]:
+        piece = vocabulary.pieces[i]
+        sums = sampler._sums(np.array([ord(c) for c in piece], np.uint32))
+        assert sampler.ids[np.searchsorted(sampler.hashes, sums[-1])] == i
+        assert sampler.begins[(sums[1:] % np.uint64(pieces._FILTER)).astype(np.int64)].all()
+    some = np.array([0, 1, 2**63, 2**64 - 1, 123456789], np.uint64)
+    assert [pieces._mixed_int(int(x)) for x in some] == mixed(some).tolist()
+
+
 def test_samples_do_not_depend_on_neighbours(texts):
     vocabulary = pieces.load()
     some = list(texts.values())[:20]
