@@ -15,7 +15,7 @@ from contactloom.llm.tables import by_size, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-RUN_CHARS = 4_000_000
+RUN_CHARS = 2_000_000
 
 _BLANK = 0x2581
 # Stands for a blank mark that is in the text itself; no piece holds it.
