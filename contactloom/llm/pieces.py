@@ -15,7 +15,9 @@ from contactloom.llm.tables import by_size, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-RUN_CHARS = 2_000_000
+RUN_CHARS = 1_000_000
+# Characters of the texts whose paths are held at a time.
+SLICE_CHARS = 250_000
 
 _BLANK = 0x2581
 # Stands for a blank mark that is in the text itself; no piece holds it.
@@ -24,6 +26,8 @@ _BASE = 0x9E3779B97F4A7C15
 _FILTER = 1 << 20
 _WORD = 2**64 - 1
 _BLOCK = 1 << 13
+# Characters that are hashed at a time, and how far the powers of the base are tabled.
+_HASH_BITS = 16
 # Steps of a path whose branches are drawn at first, and how far a draw can lie above its mass:
 # the least uniform draw is 2 ** -54.
 _STEPS, _REACH = 400, 54 * float(np.log(2))
@@ -40,6 +44,17 @@ def _mixed_int(x: int) -> int:
     return x ^ x >> 31
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, by value, and the number of each item's value."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], number
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces by id. ``scores`` are log weights; pieces of special kinds have none."""
@@ -80,6 +95,43 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+class _Branches:
+    """Draws of what a path leaves from its edge ``skip`` on, bounded by the path's own.
+
+    The masses fall along the path. Draws are made for the first steps, and for the others only when
+    they could be greater than what is there: no draw lies more than ``_REACH`` above its mass.
+    """
+
+    def __init__(self, path, skip: int, before: float, bound: float, seed: int) -> None:
+        self.path, self.skip, self.before, self.bound = path, skip, before, bound
+        self.own = np.uint64(_mixed_int(seed * int(_B)))
+        self.taken: dict[int, list[int]] = {}
+        self.upto = skip
+        self.draws = np.zeros(0)
+        self.more()
+
+    def more(self) -> None:
+        a = self.upto
+        b = min(len(self.path[2]), a + max(_STEPS, a - self.skip))
+        q, log_q = self.path[2][a:b], self.path[3][a:b]
+        x = mixed(self.own + np.arange(a, b, dtype=np.uint64) * _A)
+        e = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        with np.errstate(divide="ignore"):
+            mass = self.before + np.cumsum(log_q) - log_q + np.log1p(-np.minimum(q, 1.0))
+            mass[q > 1 - 1e-13] = -np.inf
+            draw = mass - np.log(np.exp(mass - self.bound) + e)
+        self.draws = np.concatenate((self.draws, draw))
+        self.before += float(log_q.sum())
+        self.upto = b
+
+    def best(self) -> float:
+        while (top := self.draws.max(initial=-np.inf)) < self.before + _REACH:
+            if self.upto == len(self.path[2]):
+                break
+            self.more()
+        return float(top)
+
+
 class Sampler:
     """Perturbed A-star search over the lattices of texts.
 
@@ -99,14 +151,13 @@ class Sampler:
         normal = [i for i, s in enumerate(vocabulary.scores) if s is not None]
         text = [vocabulary.pieces[i] for i in normal]
         self.longest = max(map(len, text))
-        self.powers = self.inverses = np.ones(1, np.uint64)
-        self._grow(RUN_CHARS * 5 // 4)
+        self.powers, self.inverses = (self._powers(b, 1 << _HASH_BITS) for b in (_BASE, pow(_BASE, -1, 2**64)))
         # Hashes of all pieces and of what they begin with, from sums over the pieces in a row.
         size = np.array([len(t) for t in text], np.int64)
         sums = self._sums(np.frombuffer("".join(text).encode("utf-32-le"), np.uint32))
         ends = np.cumsum(size)
         first = np.repeat(ends - size, size)
-        begun = (sums[1:] - sums[first]) * self.inverses[first]
+        begun = (sums[1:] - sums[first]) * self._inverse(first)
         hashes = begun[ends - 1]
         order = np.argsort(hashes)
         self.hashes = hashes[order]
@@ -122,23 +173,38 @@ class Sampler:
         self.byte_score = -float(np.log(len(vocabulary.pieces)))
         self.byte_ids = np.array(vocabulary.byte_ids, np.int32)
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            for name, b in (("powers", _BASE), ("inverses", pow(_BASE, -1, 2**64))):
-                steps = np.full(n, np.uint64(b))
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        steps = np.full(n, np.uint64(base))
+        steps[:1] = 1
+        return np.multiply.accumulate(steps)
+
+    def _inverse(self, at: np.ndarray) -> np.ndarray:
+        """The inverse of the base to the power of a place, from two short tables."""
+        step = pow(_BASE, -1 << _HASH_BITS, 2**64)
+        far = self._powers(step, int(at.max(initial=0) >> _HASH_BITS) + 1)
+        return self.inverses[at & (1 << _HASH_BITS) - 1] * far[at >> _HASH_BITS]
 
     def _sums(self, codes: np.ndarray) -> np.ndarray:
-        self._grow(len(codes) + 1)
-        values = mixed(codes.astype(np.uint64)) * self.powers[: len(codes)]
-        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
+        """Running sums of the characters' hashes times powers of the base, block by block."""
+        out = np.zeros(len(codes) + 1, np.uint64)
+        step = pow(_BASE, 1 << _HASH_BITS, 2**64)
+        far = 1
+        for low in range(0, len(codes), 1 << _HASH_BITS):
+            values = mixed(codes[low : low + (1 << _HASH_BITS)].astype(np.uint64))
+            values *= self.powers[: len(values)]
+            values *= np.uint64(far)
+            values[:1] += out[low : low + 1]
+            np.cumsum(values, out=out[low + 1 : low + 1 + len(values)])
+            far = far * step & _WORD
+        return out
 
     def _units(self, texts: list[str]):
         """Codes of all texts, starts of units, and where each text's units begin."""
         joined = " " + " ".join(texts) if texts else ""
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        codes = np.where(codes == 32, _BLANK, np.where(codes == _BLANK, _OWN_MARK, codes))
+        codes = np.frombuffer(bytearray(joined, "utf-32-le", "surrogatepass"), np.int32)
+        codes[codes == _BLANK] = _OWN_MARK
+        codes[codes == 32] = _BLANK
         first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         blank = codes == _BLANK
         alone = ~self.held[codes]
@@ -158,24 +224,31 @@ class Sampler:
         base = np.concatenate(([0], np.cumsum(size)))
         left = np.repeat(base[1:], size) - np.arange(base[-1])
         at = np.repeat(start - base[:-1], size) + np.arange(base[-1])
-        rest = (sums[at + left] - sums[at]) * self.inverses[at] + left.astype(np.uint64) * _A
-        _, some, row = np.unique(rest, return_index=True, return_inverse=True)
+        rest = (np.repeat(sums[start + size], size) - sums[at]) * self._inverse(at) + left.astype(np.uint64) * _A
+        some, row = _distinct(rest)
+        del rest
+        # Rows by length, so that rows of a length, and rows longer than it, are slices.
+        order = np.argsort(left[some], kind="stable")
+        some = some[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        row = rank[row]
         left, at = left[some], at[some]
+        begin, inverse = sums[at], self._inverse(at)
         n, m = len(some), self.longest
         score = np.full((n, m), -np.inf)
         ids = np.zeros((n, m), np.int32)
-        rows = np.arange(n)
-        for k in range(1, m + 1):
-            rows = rows[left[rows] >= k]
-            if not len(rows):
-                break
-            h = (sums[at[rows] + k] - sums[at[rows]]) * self.inverses[at[rows]]
-            begun = self.begins[(h % np.uint64(_FILTER)).astype(np.int64)]
-            rows, h = rows[begun], h[begun]
+        edges = np.searchsorted(left, np.arange(1, int(left.max(initial=0)) + 2))
+        for k in range(1, min(m, len(edges) - 1) + 1):
+            low = int(edges[k - 1])
+            h = (sums[at[low:] + k] - begin[low:]) * inverse[low:]
+            begun = np.flatnonzero(self.begins[(h % np.uint64(_FILTER)).astype(np.int64)])
+            h = h[begun]
             place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             right = self.hashes[place] == h
-            score[rows[right], k - 1] = self.scores[place[right]]
-            ids[rows[right], k - 1] = self.ids[place[right]]
+            rows, place = begun[right] + low, place[right]
+            score[rows, k - 1] = self.scores[place]
+            ids[rows, k - 1] = self.ids[place]
         # Characters that are no piece are spelt in bytes; longer spellings are written out later.
         odd = np.flatnonzero(~self.single[codes[at]])
         if len(odd):
@@ -185,11 +258,9 @@ class Sampler:
             score[odd, 0] = n_bytes * self.byte_score
             ids[odd, 0] = np.where(real < 0x80, self.byte_ids[np.minimum(real, 127)], -real - 1)
         back = np.zeros(n)
-        order = np.argsort(left, kind="stable")
-        edges = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
         for d in range(1, len(edges)):
-            own = order[edges[d - 1] : edges[d]]
-            if not len(own):
+            own = slice(int(edges[d - 1]), int(edges[d]))
+            if own.start == own.stop:
                 continue
             w = min(m, d)
             s = score[own, :w]
@@ -250,71 +321,47 @@ class Sampler:
         full = [i for i, t in enumerate(texts) if t]
         if not full:
             return out
-        codes, start, first, begin = self._units([texts[i] for i in full])
+        begin, size, node, row, chance, ids = self._walks([texts[i] for i in full])
+        at = 0
+        # The lattice is that of the whole run; paths are many times longer than texts, so they go by slices.
+        for _, part in by_size((texts[i] for i in full), SLICE_CHARS):
+            own = range(at, at + len(part))
+            units = slice(int(begin[at]), int(begin[own.stop]))
+            bounds = begin[at : own.stop + 1] - units.start
+            text_of = np.repeat(np.arange(len(part)), np.diff(bounds))
+            place = np.arange(bounds[-1]) - bounds[text_of]
+            seed = mixed(seeds[full[at : own.stop]].astype(np.uint64))
+            drawn = [
+                self._follow(node[units], size[units], mixed(seed + x)[text_of], place, row, chance)
+                for x in np.arange(1, k + 1, dtype=np.uint64) * _C
+            ]
+            for j, i in enumerate(own):
+                a, b = int(bounds[j]), int(bounds[j + 1])
+                out[full[i]] = self._search(a, b, node[units], size[units], seed[j], drawn, row, chance, ids, k)
+            at = own.stop
+        return out
+
+    def _walks(self, texts: list[str]):
+        """Where each text's units begin, their sizes and first nodes, and the lattice of all texts."""
+        codes, start, _, begin = self._units(texts)
         size = np.diff(np.append(start, len(codes)))
         sums = self._sums(codes)
         # The code of a unit and its length; the cut of a text keeps units inside it.
-        name = mixed((sums[start + size] - sums[start]) * self.inverses[start]) + size.astype(np.uint64)
-        _, where, unit = np.unique(name, return_index=True, return_inverse=True)
+        name = mixed((sums[start + size] - sums[start]) * self._inverse(start)) + size.astype(np.uint64)
+        where, unit = _distinct(name)
+        del name
         base, row, chance, ids = self._lattice(codes, sums, start[where], size[where])
-        node = base[unit]
-        text_of = np.repeat(np.arange(len(full)), np.diff(begin))
-        seed = mixed(seeds[full].astype(np.uint64))
-        place = np.arange(len(start)) - begin[:-1][text_of]
-        drawn = [
-            self._follow(node, size, mixed(seed + x)[text_of], place, row, chance)
-            for x in np.arange(1, k + 1, dtype=np.uint64) * _C
-        ]
-        for i, at in enumerate(full):
-            a, b = int(begin[i]), int(begin[i + 1])
-            out[at] = self._search(a, b, node, size, seed[i], drawn, row, chance, ids, k)
-        return out
+        return begin, size, base[unit], row, chance, ids
 
     def _search(self, a, b, node, size, seed, drawn, rows, chance, ids, k):
         """Best-first search of one text, whose units are ``a`` to ``b``."""
         last, number = 2**40, int(seed)
 
-        class Branches:
-            """Draws of what a path leaves from its edge ``skip`` on, bounded by the path's own.
-
-            The masses fall along the path. Draws are made for the first steps, and for the others only when
-            they could be greater than what is there: no draw lies more than ``_REACH`` above its mass.
-            """
-
-            def __init__(self, path, skip: int, before: float, bound: float, r: int) -> None:
-                self.path, self.skip, self.before, self.bound, self.r = path, skip, before, bound, r
-                self.taken: dict[int, list[int]] = {}
-                self.upto = skip
-                self.draws = np.zeros(0)
-                self.more()
-
-            def more(self) -> None:
-                a = self.upto
-                b = min(len(self.path[2]), a + max(_STEPS, a - self.skip))
-                q, log_q = self.path[2][a:b], self.path[3][a:b]
-                own = np.uint64(_mixed_int((number + self.r) * int(_B)))
-                x = mixed(own + np.arange(a, b, dtype=np.uint64) * _A)
-                e = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-                with np.errstate(divide="ignore"):
-                    mass = self.before + np.cumsum(log_q) - log_q + np.log1p(-np.minimum(q, 1.0))
-                    mass[q > 1 - 1e-13] = -np.inf
-                    draw = mass - np.log(np.exp(mass - self.bound) + e)
-                self.draws = np.concatenate((self.draws, draw))
-                self.before += float(log_q.sum())
-                self.upto = b
-
-            def best(self) -> float:
-                while (top := self.draws.max(initial=-np.inf)) < self.before + _REACH:
-                    if self.upto == len(self.path[2]):
-                        break
-                    self.more()
-                return float(top)
-
         begin, *edges = drawn[0]
         path = tuple(x[int(begin[a]) : int(begin[b])] for x in edges)
         gumbel = -np.log(-np.log(self._draw(number, 0, last + 99)))
         found = [(path, gumbel)]
-        agenda = [Branches(path, 0, 0.0, gumbel, 0)]
+        agenda = [_Branches(path, 0, 0.0, gumbel, number)]
         unit_begin = begin[a : b + 1] - begin[a]
         bounds = [unit_begin]
         while len(found) < k:
@@ -361,7 +408,7 @@ class Sampler:
                 mass - np.log(np.exp(mass - bound) + e) if np.isfinite(mass) else -np.inf
             )
             found.append((path, bound))
-            agenda.append(Branches(path, s + 1, before + float(path[3][s]), bound, r))
+            agenda.append(_Branches(path, s + 1, before + float(path[3][s]), bound, number + r))
             bounds.append(
                 np.concatenate(
                     (bounds[best][: w + 1], s + len(steps) + fresh_begin[a + w + 1 : b + 1] - fresh_begin[a + w + 1])
@@ -399,19 +446,18 @@ def _encode(vocabulary: Vocabulary, k: int):
         sampler = Sampler(vocabulary)
         names = ["doc_id", *[c.split()[0] for c in _OUT.split(", ")]]
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             seeds = batch.column("seed").to_numpy(zero_copy_only=False)
-            for at, part in by_size(texts, RUN_CHARS):
+            for at, part in by_size((t.as_py() or "" for t in batch.column("text")), RUN_CHARS):
                 found = sampler.sample(part, seeds[at : at + len(part)].view(np.uint64), k)
-                rows = [(at + i, j, *s) for i, own in enumerate(found) for j, s in enumerate(own)]
+                rows = [(i, j, *s) for i, own in enumerate(found) for j, s in enumerate(own)]
                 lists = [r[2] for r in rows]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 back = [
-                    decode(vocabulary, x.tolist()) == texts[r[0]] for r, x in zip(rows, lists, strict=True)
+                    decode(vocabulary, x.tolist()) == part[r[0]] for r, x in zip(rows, lists, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
+                        batch.column("doc_id").take(pa.array([at + r[0] for r in rows], pa.int64())),
                         pa.array([r[1] for r in rows], pa.int32()),
                         pa.array(np.diff(offsets)),
                         *[pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)],

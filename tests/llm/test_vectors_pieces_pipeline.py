@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from contactloom.llm import mixing, pieces, vectors
 from pyspark.sql import functions as F
@@ -138,6 +140,34 @@ def test_samples_do_not_depend_on_neighbours(texts):
         assert [s[0].tolist() for s in alone] == [s[0].tolist() for s in one[i]]
 
 
+def test_samples_do_not_depend_on_slices(monkeypatch, odd_rows):
+    some = [r[1] for r in odd_rows if r[1] and set(r[1]) != {"x"}]
+    seeds = np.arange(len(some), dtype=np.uint64)
+    whole = pieces.Sampler(pieces.load()).sample(some, seeds, 3)
+    monkeypatch.setattr(pieces, "SLICE_CHARS", 50)
+    monkeypatch.setattr(pieces, "_HASH_BITS", 5)
+    cut = pieces.Sampler(pieces.load()).sample(some, seeds, 3)
+    for own, other in zip(whole, cut, strict=True):
+        assert [(s[0].tolist(), *s[1:]) for s in own] == [(s[0].tolist(), *s[1:]) for s in other]
+
+
+def test_memory_of_a_batch_stays_small():
+    """What a task holds above its batch: runs of texts and slices of their paths, not all texts and paths."""
+    draw = np.random.default_rng(5)
+    words = ["".join(draw.choice(list("aeioubcdfglmnprst"), n)) for n in draw.integers(2, 9, 60_000)]
+    texts = [" ".join(words[i] for i in draw.integers(0, len(words), 4_000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(100)), "seed": list(range(100)), "text": pa.array([*texts, None][1:])}
+    )
+    run = pieces._encode(pieces.load(), 2)
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2 * 99 + 1
+    assert peak < 150e6, f"{peak / 1e6:.0f} MB"
+
+
 def test_stages_on_documents(spark, documents, sf_dir):
     docs = documents
     seen = {}
