@@ -24,6 +24,7 @@ _BLANK = 0x2581
 _OWN_MARK = 0x110000
 _BASE = 0x9E3779B97F4A7C15
 _FILTER = 1 << 20
+_BUCKET_BITS = 16
 _WORD = 2**64 - 1
 _BLOCK = 1 << 13
 # Characters that are hashed at a time, and how far the powers of the base are tabled.
@@ -95,6 +96,25 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+@dataclass(frozen=True)
+class _Lattice:
+    """Edges of distinct units in a row, those of a node side by side, shortest first.
+
+    Nodes with the same rest of their unit are one node, so an edge also knows where it leads.
+    """
+
+    # First edge of each node, and the number of all edges.
+    first: np.ndarray
+    # Running sums of the chances of a node's edges; the last is infinite, so that it exceeds any draw.
+    chance: np.ndarray
+    log_q: np.ndarray
+    # Log chance of the node's other edges.
+    log_rest: np.ndarray
+    # First edge of the node that an edge leads to; -1 at the end of the unit.
+    after: np.ndarray
+    ids: np.ndarray
+
+
 class _Branches:
     """Draws of what a path leaves from its edge ``skip`` on, bounded by the path's own.
 
@@ -102,8 +122,9 @@ class _Branches:
     they could be greater than what is there: no draw lies more than ``_REACH`` above its mass.
     """
 
-    def __init__(self, path, skip: int, before: float, bound: float, seed: int) -> None:
-        self.path, self.skip, self.before, self.bound = path, skip, before, bound
+    def __init__(self, path, log_q, log_rest, skip: int, before: float, bound: float, seed: int) -> None:
+        self.path, self.log_q, self.log_rest = path, log_q, log_rest
+        self.skip, self.before, self.bound = skip, before, bound
         self.own = np.uint64(_mixed_int(seed * int(_B)))
         self.taken: dict[int, list[int]] = {}
         self.upto = skip
@@ -112,21 +133,20 @@ class _Branches:
 
     def more(self) -> None:
         a = self.upto
-        b = min(len(self.path[2]), a + max(_STEPS, a - self.skip))
-        q, log_q = self.path[2][a:b], self.path[3][a:b]
+        b = min(len(self.path), a + max(_STEPS, a - self.skip))
+        log_q = self.log_q[a:b]
         x = mixed(self.own + np.arange(a, b, dtype=np.uint64) * _A)
         e = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        mass = self.before + np.cumsum(log_q) - log_q + self.log_rest[self.path[a:b]]
         with np.errstate(divide="ignore"):
-            mass = self.before + np.cumsum(log_q) - log_q + np.log1p(-np.minimum(q, 1.0))
-            mass[q > 1 - 1e-13] = -np.inf
             draw = mass - np.log(np.exp(mass - self.bound) + e)
-        self.draws = np.concatenate((self.draws, draw))
+        self.draws = np.concatenate((self.draws, draw)) if a > self.skip else draw
         self.before += float(log_q.sum())
         self.upto = b
 
     def best(self) -> float:
         while (top := self.draws.max(initial=-np.inf)) < self.before + _REACH:
-            if self.upto == len(self.path[2]):
+            if self.upto == len(self.path):
                 break
             self.more()
         return float(top)
@@ -160,7 +180,9 @@ class Sampler:
         begun = (sums[1:] - sums[first]) * self._inverse(first)
         hashes = begun[ends - 1]
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
+        # A greatest hash behind the last, and where the hashes of each run of first bits begin.
+        self.hashes = np.append(hashes[order], np.uint64(_WORD))
+        self.bucket = np.searchsorted(self.hashes[:-1], np.arange(1 << _BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - _BUCKET_BITS))
         self.ids = np.array(normal, np.int32)[order]
         self.scores = np.array([vocabulary.scores[i] for i in normal], np.float32)[order]
         # Whether some piece may begin with a run of characters, by its hash.
@@ -215,11 +237,52 @@ class Sampler:
         start = np.flatnonzero(cut)
         return codes, start, first, np.searchsorted(start, first)
 
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        """Where the first hash of a piece stands that is not less."""
+        place = self.bucket[(h >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)]
+        less = np.flatnonzero(self.hashes[place] < h)
+        while len(less):
+            place[less] += 1
+            less = less[self.hashes[place[less]] < h[less]]
+        return place
+
+    def _edges(self, codes: np.ndarray, sums: np.ndarray, at: np.ndarray, longer: np.ndarray):
+        """Edges of nodes by length, and how many each node has.
+
+        Per length: nodes, which of their edges it is, scores and ids. ``longer``: from which node on
+        at least 1, 2, ... characters are left.
+        """
+        count = np.zeros(len(at), np.int32)
+        found = []
+        # Characters that are no piece are spelt in bytes; longer spellings are written out later.
+        odd = np.flatnonzero(~self.single[codes[at]])
+        if len(odd):
+            c = codes[at[odd]]
+            real = np.where(c == _OWN_MARK, _BLANK, c)
+            n_bytes = 1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF)
+            ids = np.where(real < 0x80, self.byte_ids[np.minimum(real, 127)], -real - 1)
+            found.append((1, odd, count[odd], n_bytes * self.byte_score, ids))
+            count[odd] = 1
+        node, begin, inverse = np.arange(len(at)), sums[at], self._inverse(at)
+        for k in range(1, min(self.longest, len(longer) - 1) + 1):
+            # Only what some piece begins with can be longer.
+            low = int(np.searchsorted(node, longer[k - 1]))
+            node, at, begin, inverse = node[low:], at[low:], begin[low:], inverse[low:]
+            h = (sums[at + k] - begin) * inverse
+            begun = np.flatnonzero(self.begins[(h % np.uint64(_FILTER)).astype(np.int64)])
+            node, at, begin, inverse, h = node[begun], at[begun], begin[begun], inverse[begun], h[begun]
+            place = self._place(h)
+            right = np.flatnonzero(self.hashes[place] == h)
+            own, place = node[right], place[right]
+            found.append((k, own, count[own], self.scores[place], self.ids[place]))
+            count[own] += 1
+        return found, count
+
     def _lattice(self, codes: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """Edges of the given units: first node of each unit, row of each node, chances and ids by row.
+        """The lattice of the given units, and the first edge of each unit.
 
         What can follow a node depends on the rest of its unit alone, so nodes with the same
-        rest share a row. Chances are running sums over the lengths of edges.
+        rest are one.
         """
         base = np.concatenate(([0], np.cumsum(size)))
         left = np.repeat(base[1:], size) - np.arange(base[-1])
@@ -227,55 +290,49 @@ class Sampler:
         rest = (np.repeat(sums[start + size], size) - sums[at]) * self._inverse(at) + left.astype(np.uint64) * _A
         some, row = _distinct(rest)
         del rest
-        # Rows by length, so that rows of a length, and rows longer than it, are slices.
+        # By length, so that nodes with as much left, and those with more, are slices.
         order = np.argsort(left[some], kind="stable")
         some = some[order]
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         row = rank[row]
         left, at = left[some], at[some]
-        begin, inverse = sums[at], self._inverse(at)
-        n, m = len(some), self.longest
-        score = np.full((n, m), -np.inf)
-        ids = np.zeros((n, m), np.int32)
-        edges = np.searchsorted(left, np.arange(1, int(left.max(initial=0)) + 2))
-        for k in range(1, min(m, len(edges) - 1) + 1):
-            low = int(edges[k - 1])
-            h = (sums[at[low:] + k] - begin[low:]) * inverse[low:]
-            begun = np.flatnonzero(self.begins[(h % np.uint64(_FILTER)).astype(np.int64)])
-            h = h[begun]
-            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            right = self.hashes[place] == h
-            rows, place = begun[right] + low, place[right]
-            score[rows, k - 1] = self.scores[place]
-            ids[rows, k - 1] = self.ids[place]
-        # Characters that are no piece are spelt in bytes; longer spellings are written out later.
-        odd = np.flatnonzero(~self.single[codes[at]])
-        if len(odd):
-            c = codes[at[odd]]
-            real = np.where(c == _OWN_MARK, _BLANK, c)
-            n_bytes = 1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF)
-            score[odd, 0] = n_bytes * self.byte_score
-            ids[odd, 0] = np.where(real < 0x80, self.byte_ids[np.minimum(real, 127)], -real - 1)
-        back = np.zeros(n)
-        for d in range(1, len(edges)):
-            own = slice(int(edges[d - 1]), int(edges[d]))
-            if own.start == own.stop:
+        n = len(some)
+        longer = np.searchsorted(left, np.arange(1, int(left.max(initial=0)) + 2))
+        found, count = self._edges(codes, sums, at, longer)
+        first = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        # The end of a unit is a node without edges.
+        score, ids = np.empty(first[-1]), np.empty(first[-1], np.int32)
+        target, turn = np.full(first[-1], n, np.int32), np.empty(first[-1], np.int16)
+        for k, own, nth, of, which in found:
+            edge = first[own] + nth
+            score[edge], ids[edge], turn[edge] = of, which, nth
+            inner = int(np.searchsorted(own, longer[k]))
+            target[edge[inner:]] = row[some[own[inner:]] + k]
+        del found
+        chance, back = np.empty(first[-1]), np.zeros(n + 1)
+        for low, high in zip(longer[:-1].tolist(), longer[1:].tolist(), strict=True):
+            if low == high:
                 continue
-            w = min(m, d)
-            s = score[own, :w]
-            held = s > -np.inf
-            for k in range(1, min(w, d - 1) + 1):
-                s[:, k - 1] += back[row[some[own] + k]]
+            own = slice(int(first[low]), int(first[high]))
+            line = np.repeat(np.arange(high - low), count[low:high])
+            s = np.full((high - low, int(count[low:high].max())), -np.inf)
+            s[line, turn[own]] = score[own] + back[target[own]]
             top = s.max(1)
             total = np.cumsum(np.exp(s - top[:, None]), 1)
-            back[own] = top + np.log(total[:, -1])
-            last = w - 1 - np.argmax(held[:, ::-1], 1)
+            back[low:high] = top + np.log(total[:, -1])
             total /= total[:, -1:]
-            total[np.arange(w)[None, :] >= last[:, None]] = 1.0
-            score[own, :w] = total
-            score[own, w:] = 1.0
-        return base, row, score, ids
+            chance[own] = total[line, turn[own]]
+        chance[first[1:] - 1] = 1.0
+        q = np.diff(chance, prepend=0.0)
+        q[first[:-1]] = chance[first[:-1]]
+        with np.errstate(divide="ignore"):
+            log_q, log_rest = np.log(q), np.log1p(-np.minimum(q, 1.0))
+        log_rest[q > 1 - 1e-13] = -np.inf
+        chance[first[1:] - 1] = np.inf
+        begin = first.astype(np.int32)
+        begin[-1] = -1
+        return _Lattice(first, chance, log_q, log_rest, begin[target], ids), begin[row[base[:-1]]]
 
     @staticmethod
     def _draw(seed: int, a: int, b: int) -> float:
@@ -283,37 +340,35 @@ class Sampler:
         x = _mixed_int(_mixed_int(seed + a * int(_A)) + b * int(_B))
         return ((x >> 11) + 0.5) * 2.0**-53
 
-    def _follow(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray, place: np.ndarray, row, chance):
-        """A path by chance through each unit: flat edges by unit, and where each unit's begin."""
-        n = len(node)
+    def _follow(self, lattice: _Lattice, start: np.ndarray, seed: np.ndarray, place: np.ndarray):
+        """A path by chance through each unit: edges by unit, and where each unit's begin."""
+        n = len(start)
         kept, count = [], np.zeros(n, np.int64)
         seed = mixed(seed + place.astype(np.uint64) * _A)
-        node, left = node.copy(), left.copy()
         # Few units at a time, so that what a step gathers stays in the processor's cache.
         for low in range(0, n, _BLOCK):
-            active, t = np.arange(low, min(low + _BLOCK, n)), 0
-            while len(active):
-                own = row[node[active]]
-                rows = chance[own]
-                x = mixed(seed[active] + np.array([t], np.uint64) * _B) >> np.uint64(11)
+            at, own = start[low : low + _BLOCK], seed[low : low + _BLOCK]
+            unit, t = np.arange(low, low + len(at)), 0
+            while len(at):
+                x = mixed(own + np.array([t], np.uint64) * _B) >> np.uint64(11)
                 u = (x.astype(np.float64) + 0.5) * 2.0**-53
-                # The first edge whose running sum exceeds the draw; the last sum is 1.
-                pick = (u[:, None] < rows).argmax(1)
-                line = np.arange(len(own))
-                q = rows[line, pick] - np.where(pick > 0, rows[line, np.maximum(pick - 1, 0)], 0)
-                kept.append((t, active, own, pick, q))
-                count[active] += 1
-                node[active] += pick + 1
-                left[active] -= pick + 1
-                active = active[left[active] > 0]
+                # The first edge whose running sum exceeds the draw.
+                edge = at.copy()
+                beyond = np.flatnonzero(u >= lattice.chance[edge])
+                while len(beyond):
+                    edge[beyond] += 1
+                    beyond = beyond[u[beyond] >= lattice.chance[edge[beyond]]]
+                kept.append((t, unit, edge))
+                count[unit] += 1
+                at = lattice.after[edge]
+                on = np.flatnonzero(at >= 0)
+                at, own, unit = at[on], own[on], unit[on]
                 t += 1
         begin = np.concatenate(([0], np.cumsum(count)))
-        out_node, out_pick = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
-        out_q = np.empty(begin[-1], np.float64)
-        for t, active, own, pick, q in kept:
-            at = begin[active] + t
-            out_node[at], out_pick[at], out_q[at] = own, pick, q
-        return begin, out_node, out_pick, out_q, np.log(out_q)
+        out = np.empty(begin[-1], np.int32)
+        for t, unit, edge in kept:
+            out[begin[unit] + t] = edge
+        return begin, out
 
     def sample(self, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """Per text up to ``k`` samples: ids, log chance, Gumbel draw, log inclusion score."""
@@ -321,7 +376,7 @@ class Sampler:
         full = [i for i, t in enumerate(texts) if t]
         if not full:
             return out
-        begin, size, node, row, chance, ids = self._walks([texts[i] for i in full])
+        begin, start, lattice = self._walks([texts[i] for i in full])
         at = 0
         # The lattice is that of the whole run; paths are many times longer than texts, so they go by slices.
         for _, part in by_size((texts[i] for i in full), SLICE_CHARS):
@@ -332,17 +387,16 @@ class Sampler:
             place = np.arange(bounds[-1]) - bounds[text_of]
             seed = mixed(seeds[full[at : own.stop]].astype(np.uint64))
             drawn = [
-                self._follow(node[units], size[units], mixed(seed + x)[text_of], place, row, chance)
+                self._follow(lattice, start[units], mixed(seed + x)[text_of], place)
                 for x in np.arange(1, k + 1, dtype=np.uint64) * _C
             ]
             for j, i in enumerate(own):
-                a, b = int(bounds[j]), int(bounds[j + 1])
-                out[full[i]] = self._search(a, b, node[units], size[units], seed[j], drawn, row, chance, ids, k)
+                out[full[i]] = self._search(int(bounds[j]), int(bounds[j + 1]), seed[j], drawn, lattice, k)
             at = own.stop
         return out
 
     def _walks(self, texts: list[str]):
-        """Where each text's units begin, their sizes and first nodes, and the lattice of all texts."""
+        """Where each text's units begin, the first edges of the units, and the lattice of all texts."""
         codes, start, _, begin = self._units(texts)
         size = np.diff(np.append(start, len(codes)))
         sums = self._sums(codes)
@@ -350,20 +404,20 @@ class Sampler:
         name = mixed((sums[start + size] - sums[start]) * self._inverse(start)) + size.astype(np.uint64)
         where, unit = _distinct(name)
         del name
-        base, row, chance, ids = self._lattice(codes, sums, start[where], size[where])
-        return begin, size, base[unit], row, chance, ids
+        lattice, first = self._lattice(codes, sums, start[where], size[where])
+        return begin, first[unit], lattice
 
-    def _search(self, a, b, node, size, seed, drawn, rows, chance, ids, k):
+    def _search(self, a, b, seed, drawn, lattice, k):
         """Best-first search of one text, whose units are ``a`` to ``b``."""
         last, number = 2**40, int(seed)
 
-        begin, *edges = drawn[0]
-        path = tuple(x[int(begin[a]) : int(begin[b])] for x in edges)
+        begin, edges = drawn[0]
+        path = edges[int(begin[a]) : int(begin[b])]
+        log_q = lattice.log_q[path]
         gumbel = -np.log(-np.log(self._draw(number, 0, last + 99)))
-        found = [(path, gumbel)]
-        agenda = [_Branches(path, 0, 0.0, gumbel, number)]
-        unit_begin = begin[a : b + 1] - begin[a]
-        bounds = [unit_begin]
+        found = [(path, log_q, gumbel)]
+        agenda = [_Branches(path, log_q, lattice.log_rest, 0, 0.0, gumbel, number)]
+        bounds = [begin[a : b + 1] - begin[a]]
         while len(found) < k:
             best = max(range(len(agenda)), key=lambda j: agenda[j].best())
             branch = agenda[best]
@@ -372,33 +426,30 @@ class Sampler:
                 break
             s = branch.skip + int(branch.draws.argmax())
             r = len(found)
-            here = int(old[0][s])
-            row = np.diff(chance[here], prepend=0.0)
-            banned = taken.setdefault(s, [int(old[1][s])])
+            # The edges beside the path's own that are not taken yet.
+            here = int(np.searchsorted(lattice.first, old[s], "right")) - 1
+            low, high = int(lattice.first[here]), int(lattice.first[here + 1])
+            row = np.diff(np.minimum(lattice.chance[low:high], 1.0), prepend=0.0)
+            banned = taken.setdefault(s, [int(old[s]) - low])
             row[banned] = 0.0
             rest = row.sum()
             u = self._draw(number, s, last + 200 + r)
             pick = int(np.searchsorted(np.cumsum(row), u * rest, "right"))
             pick = min(pick, int(np.flatnonzero(row)[-1]))
             w = int(np.searchsorted(bounds[best], s, "right")) - 1
-            before_here = int((old[1][bounds[best][w] : s] + 1).sum())
-            at, end = int(node[a + w]) + before_here, int(node[a + w] + size[a + w])
-            steps = [(here, pick, float(chance[here, pick] - (chance[here, pick - 1] if pick else 0)))]
-            at, t = at + pick + 1, 0
-            while at < end:
+            steps = [low + pick]
+            at, t = int(lattice.after[low + pick]), 0
+            while at >= 0:
                 u = self._draw(number, s, last + 1_000 * (r + 1) + t)
-                on = int(rows[at])
-                p = int((u >= chance[on]).sum())
-                steps.append((on, p, float(chance[on, p] - (chance[on, p - 1] if p else 0))))
-                at, t = at + p + 1, t + 1
-            fresh_begin, *fresh = drawn[r]
-            tail = slice(int(fresh_begin[a + w + 1]), int(fresh_begin[b]))
-            on, turn, q = (np.array(x) for x in zip(*steps, strict=True))
-            path = tuple(
-                np.concatenate((x[:s], new, y[tail]))
-                for x, new, y in zip(old, (on, turn, q, np.log(q)), fresh, strict=True)
-            )
-            before = float(old[3][:s].sum())
+                while u >= lattice.chance[at]:
+                    at += 1
+                steps.append(at)
+                at, t = int(lattice.after[at]), t + 1
+            begin, edges = drawn[r]
+            tail = edges[int(begin[a + w + 1]) : int(begin[b])]
+            path = np.concatenate((old[:s], np.array(steps, np.int32), tail))
+            log_q = lattice.log_q[path]
+            before = float(log_q[:s].sum())
             # What is left of the branch after this edge.
             banned.append(pick)
             left = rest - row[pick]
@@ -407,18 +458,18 @@ class Sampler:
             branch.draws[s - branch.skip] = (
                 mass - np.log(np.exp(mass - bound) + e) if np.isfinite(mass) else -np.inf
             )
-            found.append((path, bound))
-            agenda.append(_Branches(path, s + 1, before + float(path[3][s]), bound, number + r))
+            found.append((path, log_q, bound))
+            agenda.append(
+                _Branches(path, log_q, lattice.log_rest, s + 1, before + float(log_q[s]), bound, number + r)
+            )
             bounds.append(
-                np.concatenate(
-                    (bounds[best][: w + 1], s + len(steps) + fresh_begin[a + w + 1 : b + 1] - fresh_begin[a + w + 1])
-                )
+                np.concatenate((bounds[best][: w + 1], s + len(steps) + begin[a + w + 1 : b + 1] - begin[a + w + 1]))
             )
         rest = max(x.best() for x in agenda)
         result = []
-        for path, g in found:
-            log_p = float(path[3].sum())
-            chosen = ids[path[0], path[1]]
+        for path, log_q, g in found:
+            log_p = float(log_q.sum())
+            chosen = lattice.ids[path]
             if (chosen < 0).any():
                 chosen = np.concatenate(
                     [
@@ -441,9 +492,17 @@ def _log_inclusion(log_p: float, threshold: float) -> float:
 _OUT = "sample int, n_pieces int, log_prob double, draw double, log_inclusion double, ids array<int>, round_trip boolean"
 
 
+def _round_trips(raw: pa.Array, ids: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[bool]:
+    """Whether each list of ids decodes to its text, behind the blank put before it. ``raw``: bytes of each id."""
+    _, ends, data = raw.take(pa.array(ids)).buffers()
+    at = np.frombuffer(ends, np.int64)[offsets].tolist()
+    plain = memoryview(data or b"")
+    return [bytes(plain[a + 1 : b]) == t.encode() for a, b, t in zip(at, at[1:], texts, strict=False)]
+
+
 def _encode(vocabulary: Vocabulary, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(vocabulary)
+        sampler, raw = Sampler(vocabulary), pa.array(vocabulary.raw, pa.large_binary())
         names = ["doc_id", *[c.split()[0] for c in _OUT.split(", ")]]
         for batch in batches:
             seeds = batch.column("seed").to_numpy(zero_copy_only=False)
@@ -452,16 +511,15 @@ def _encode(vocabulary: Vocabulary, k: int):
                 rows = [(i, j, *s) for i, own in enumerate(found) for j, s in enumerate(own)]
                 lists = [r[2] for r in rows]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-                back = [
-                    decode(vocabulary, x.tolist()) == part[r[0]] for r, x in zip(rows, lists, strict=True)
-                ]
+                ids = np.concatenate(lists).astype(np.int32)
+                back = _round_trips(raw, ids, offsets, [part[r[0]] for r in rows])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array([at + r[0] for r in rows], pa.int64())),
                         pa.array([r[1] for r in rows], pa.int32()),
                         pa.array(np.diff(offsets)),
                         *[pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)],
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
                         pa.array(back, pa.bool_()),
                     ],
                     names=names,

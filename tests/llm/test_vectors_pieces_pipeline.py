@@ -151,6 +151,37 @@ def test_samples_do_not_depend_on_slices(monkeypatch, odd_rows):
         assert [(s[0].tolist(), *s[1:]) for s in own] == [(s[0].tolist(), *s[1:]) for s in other]
 
 
+def test_lattice_holds_the_edges_that_there_are():
+    """One entry per piece that fits, not a place for each length at each node; equal rests are one node."""
+    vocabulary = pieces.load()
+    text = "then there are a thousand others then there"
+    begin, start, lattice = pieces.Sampler(vocabulary)._walks([text])
+    units = [" then", " there", " are", " a", " thousand", " others"]
+    normal = {p for p, s in zip(vocabulary.pieces, vocabulary.scores, strict=True) if s is not None}
+    rests = {u[i:].replace(" ", "▁") for u in units for i in range(len(u))}
+    want = Counter(sum(r[:n] in normal for n in range(1, len(r) + 1)) for r in rests)
+    assert Counter(np.diff(lattice.first).tolist()) == want
+    assert len(lattice.chance) == len(lattice.after) == len(lattice.ids) == lattice.first[-1]
+    assert len(start) == begin[-1] == 8
+    assert start[0] == start[6] and start[1] == start[7]
+    # Chances of a node's edges add up to one, and edges lead to nodes.
+    assert np.add.reduceat(np.exp(lattice.log_q), lattice.first[:-1]) == pytest.approx(1)
+    assert set(lattice.after.tolist()) <= {-1, *lattice.first[:-1].tolist()}
+
+
+def test_round_trips_are_told_from_others():
+    vocabulary = pieces.load()
+    raw = pa.array(vocabulary.raw, pa.large_binary())
+    texts = ["to a", "", "漢 �", "to b"]
+    ids = [own[0][0] for own in pieces.Sampler(vocabulary).sample(texts, np.arange(4, dtype=np.uint64), 1)]
+    assert [pieces.decode(vocabulary, x.tolist()) for x in ids] == texts
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    flat = np.concatenate(ids)
+    assert pieces._round_trips(raw, flat, ends, texts) == [True] * 4
+    assert pieces._round_trips(raw, flat, ends, ["to b", "x", "漢 ", "to b"]) == [False] * 3 + [True]
+    assert pieces._round_trips(raw, flat[:0], np.array([0, 0]), [""]) == [True]
+
+
 def test_memory_of_a_batch_stays_small():
     """What a task holds above its batch: runs of texts and slices of their paths, not all texts and paths."""
     draw = np.random.default_rng(5)
