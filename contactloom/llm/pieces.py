@@ -291,12 +291,13 @@ class Sampler:
         some, row = _distinct(rest)
         del rest
         # By length, so that nodes with as much left, and those with more, are slices.
-        order = np.argsort(left[some], kind="stable")
+        left = left[some]
+        order = np.argsort(left.astype(np.min_scalar_type(left.max(initial=0))), kind="stable")
         some = some[order]
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         row = rank[row]
-        left, at = left[some], at[some]
+        left, at = left[order], at[some]
         n = len(some)
         longer = np.searchsorted(left, np.arange(1, int(left.max(initial=0)) + 2))
         found, count = self._edges(codes, sums, at, longer)
@@ -316,13 +317,14 @@ class Sampler:
                 continue
             own = slice(int(first[low]), int(first[high]))
             line = np.repeat(np.arange(high - low), count[low:high])
-            s = np.full((high - low, int(count[low:high].max())), -np.inf)
-            s[line, turn[own]] = score[own] + back[target[own]]
-            top = s.max(1)
-            total = np.cumsum(np.exp(s - top[:, None]), 1)
-            back[low:high] = top + np.log(total[:, -1])
-            total /= total[:, -1:]
-            chance[own] = total[line, turn[own]]
+            s = score[own] + back[target[own]]
+            top = np.maximum.reduceat(s, first[low:high] - first[low])
+            total = np.zeros((high - low, int(count[low:high].max())))
+            total[line, turn[own]] = np.exp(s - top[line])
+            np.cumsum(total, 1, out=total)
+            whole = total[:, -1]
+            back[low:high] = top + np.log(whole)
+            chance[own] = total[line, turn[own]] / whole[line]
         chance[first[1:] - 1] = 1.0
         q = np.diff(chance, prepend=0.0)
         q[first[:-1]] = chance[first[:-1]]
