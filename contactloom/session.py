@@ -39,6 +39,33 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {name.rpartition("/")[0] for name in df.inputFiles()}
+        for folder in folders:
+            if "/tables/" not in folder:
+                raise ValueError(f"{folder} was not written by stored()")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of each query as soon as it ends; else they stay until the driver collects its garbage.
+
+    For jobs that write what they go on with; a query that is run twice makes its shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of ``df``; exact for stored tables, else generous."""
     try:

@@ -1,12 +1,14 @@
 import math
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 from contactloom.llm import mixing, pieces, vectors
+from contactloom.session import shared_dir
 from pyspark.sql import functions as F
 
 
@@ -66,6 +68,58 @@ def test_groups_of_many_leaves_keep_all_links(spark):
     assert sum(r.n_links for r in got.values()) >= 0.99 * sum(links.values())
 
 
+def _clusters(spark, kind):
+    """Groups of near vectors beside others, in two labels: the table, and its links and least members."""
+    draw = np.random.default_rng(5)
+    centres = draw.standard_normal((300, 48))
+    x = np.concatenate([centres[draw.integers(0, 300, 3_000)] + 0.15 * draw.standard_normal((3_000, 48)), draw.standard_normal((3_000, 48))])
+    x = x.astype(np.float32)
+    labels = draw.integers(0, 2, len(x))
+    unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    rows = [(int(i), x[i].tolist(), int(labels[i])) for i in draw.permutation(len(x))]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    return table, *_plain_links(list(range(len(x))), labels, unit)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_branches_count_each_link_once(spark, kind):
+    """Nodes that no task may hold are split by all; pairs that meet in several branches and trees count once."""
+    table, links, root = _clusters(spark, kind)
+    got = {r.vec_id: r for r in vectors.near_vectors(table, leaf=100, branch_bytes=48 * 8 * 450).collect()}
+    assert len(got) == len(root) and sum(links.values()) > 10_000
+    assert all(r.n_links <= links[i] and r.component_id >= root[i] for i, r in got.items())
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(links.values())
+
+
+def _on_disk(spark):
+    folders = [shared_dir(spark), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    folders = [Path(str(x).removeprefix("file:")) for x in folders]
+    return sum(f.stat().st_size for x in folders for f in x.rglob("*") if f.is_file() and "broadcast" not in f.name)
+
+
+def test_forest_keeps_little_on_disk(spark, tmp_path, monkeypatch):
+    """Tables and shuffles of the forest take up a few times the vectors at any time, whatever the levels and trees."""
+    table, _, _ = _clusters(spark, "float")
+    table.repartition(2).write.parquet(f"{tmp_path}/embeddings")
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    partitions, keep, seen = spark.conf.get("spark.sql.shuffle.partitions"), vectors.stored, []
+    spark._jvm.System.gc()
+    before = _on_disk(spark)
+
+    def stored(df):
+        out = keep(df)
+        seen.append(_on_disk(spark) - before)
+        return out
+
+    monkeypatch.setattr(vectors, "stored", stored)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        vectors.near_vectors(spark.read.parquet(f"{tmp_path}/embeddings"), leaf=100, branch_bytes=48 * 8 * 450)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len(seen) > 10 and max(seen) < 4 * size, [round(x / size, 2) for x in seen]
+
+
 def _paths(vocabulary, text):
     known = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.scores[i] is not None}
     text, out = "▁" + text.replace(" ", "▁"), []
