@@ -29,7 +29,7 @@ BLOCK_LEAVES = 4
 # Levels of splits; far more than any table needs.
 MOST_LEVELS = 60
 # Nodes of at most so many bytes of doubles are split further, and compared, by one task.
-BRANCH_BYTES = 64 << 20
+BRANCH_BYTES = 32 << 20
 # Rows that are sent through a shuffle at once, as a multiple of the rows there are.
 AT_ONCE = 1.5
 # Linked pairs of a branch that are looked at together.
@@ -627,7 +627,7 @@ def _forest_links(rows: DataFrame, least: float, trees: int, leaf: int, spill: f
     The upper levels of the trees are split by sketches over all rows. Below them, a branch is a node that one task
     can hold: its rows go there, a tree after another, first to split it down to the leaves, then to be
     compared inside them. Only the rows of one tree (at most ``AT_ONCE`` times all rows) are on their way at a time.
-    What goes to every task is 20 bytes a node, about one node for ``leaf`` / 2 rows of a tree.
+    What goes to every task is 20 bytes a node, some nodes for each ``leaf`` rows of a tree.
     """
     sizes = stored(rows.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("vec")).alias("bytes")).filter(F.col("n") > leaf))
     item = np.dtype(kind).itemsize
